@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe, leakage, reading_level, term_counts
+from srcatlas.llm import bpe, leakage, reading_level, syntax, term_counts
 from srcatlas.plans.runtime import read
 
 
@@ -21,6 +21,14 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _terms(spark, sf)
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.unparsable_files(read(spark, sf, "files"))
+
+
+def p7_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax.parse_rates(read(spark, sf, "files"), read(spark, sf, "smart_reports"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(read(spark, sf, "documents"))
 
@@ -47,7 +55,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return reading_level.level_profile(read(spark, sf, "documents"), read(spark, sf, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p8_ids, p8_tokens_by_source, p9_found, p9_items, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p7_found, p7_rates, p8_ids, p8_tokens_by_source, p9_found, p9_items, p10_found, p10_profile)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _P3 = f"""
