@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.llm import bpe, credentials, leakage, reading_level, syntax, term_counts
+from srcatlas.llm import bpe, credentials, leakage, provenance, reading_level, syntax, term_counts
 from srcatlas.plans.runtime import read
 
 
@@ -21,6 +21,14 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
     return _terms(spark, sf)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.not_handwritten(read(spark, sf, "files"))
+
+
+def p4_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return provenance.file_labels(read(spark, sf, "files")).select("file_id", "label")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.credential_lines(read(spark, sf, "read_outputs"))
 
@@ -63,7 +71,7 @@ def p10_profile(spark: SparkSession, sf: str) -> DataFrame:
     return reading_level.level_profile(read(spark, sf, "documents"), read(spark, sf, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p5_found, p5_redacted, p7_found, p7_rates, p8_ids, p8_tokens_by_source, p9_found, p9_items, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_labels, p5_found, p5_redacted, p7_found, p7_rates, p8_ids, p8_tokens_by_source, p9_found, p9_items, p10_found, p10_profile)}
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _P3 = f"""
