@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +147,7 @@ def folder_evidence(name: str | None) -> list[float]:
     return e
 
 
-_FILE_SCHEMA = "file_id bigint, repo string, folder string, body bigint, " + ", ".join(f"e{i} double" for i in range(5))
+_FILE_SCHEMA = "file_id bigint, repo string, folder string, body bigint, e0 double, e1 double, e2 double, e3 double, e4 double"
 _COLUMNS = [f"e{i}" for i in range(5)]
 
 
@@ -168,21 +170,50 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("repo"), batch.column("folder"), *[pa.array([e[i] for e in rows], pa.float64()) for i in range(5)]], names=["repo", "folder", *_COLUMNS])
 
 
-def _message(values: list[Column], to_child: bool) -> list[Column]:
-    """log sum over the sender's labels of its potential times the compatibility with each of the receiver's."""
-    top = F.greatest(*values)
-    result = []
-    for receiver in range(5):
-        terms = [F.exp(v - top) * F.lit(COMPATIBLE[sender][receiver] if to_child else COMPATIBLE[receiver][sender]) for sender, v in enumerate(values)]
-        total = terms[0]
-        for t in terms[1:]:
-            total = total + t
-        result.append(F.log(total) + top)
-    return result
+_LOG_COMPATIBLE = np.log(np.array(COMPATIBLE))
 
 
-def _cols(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(5)]
+def _message(values: np.ndarray, to_child: bool) -> np.ndarray:
+    """log sum over the sender's labels of its potential times the compatibility with each of the receiver's; rows by rows."""
+    table = _LOG_COMPATIBLE.T if to_child else _LOG_COMPATIBLE
+    return np.logaddexp.reduce(values[:, None, :] + table[None, :, :], axis=2)
+
+
+def _matrix(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
+    return np.column_stack([batch.column(f"{prefix}{i}").to_numpy(zero_copy_only=False) for i in range(5)]).astype(float)
+
+
+def _with(batch: pa.RecordBatch, keep: list[str], prefix: str, values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(values[:, i]) for i in range(5))], names=[*keep, *(f"{prefix}{i}" for i in range(5))])
+
+
+def _upwards(batches: Iterator[pa.RecordBatch], prefix: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """What files or folders (their potentials under prefix) tell the folder above."""
+    for batch in batches:
+        yield _with(batch, keep, "m", _message(_matrix(batch, prefix), False))
+
+
+def _downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A folder's belief d from its own u and the belief q of the folder above without what this one has told it."""
+    for batch in batches:
+        u, q = _matrix(batch, "u"), _matrix(batch, "q")
+        cavity = q - _message(u, False)
+        d = u + _message(cavity - cavity.max(axis=1, keepdims=True), True)
+        yield _with(batch, ["repo", "folder"], "d", d - d.max(axis=1, keepdims=True))
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        e, d = _matrix(batch, "e"), _matrix(batch, "d")
+        cavity = d - _message(e, False)
+        belief = e + _message(cavity - cavity.max(axis=1, keepdims=True), True)
+        share = np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None]) if len(belief) else belief
+        best = belief.argmax(axis=1) if len(belief) else np.empty(0, int)
+        yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array([LABELS[i] for i in best], pa.string()), pa.array(share[:, 0])], names=["file_id", "label", "p_handwritten"])
+
+
+def _doubles(prefix: str) -> str:
+    return ", ".join(f"{prefix}{i} double" for i in range(5))
 
 
 def _parent(folder: Column) -> Column:
@@ -202,13 +233,13 @@ def file_labels(files: DataFrame) -> DataFrame:
     copied = seen.where(F.col("body").isNotNull()).groupBy("body").agg(F.countDistinct("repo").alias("repos")).where(F.col("repos") >= COPY_REPOS).select("body", F.lit(True).alias("copied"))
     observed = salted_join(seen, copied, ["body"], "file_id", "left").withColumn("e3", F.col("e3") + F.when(F.col("copied") & (F.greatest("e1", "e2", "e4") < 0), COPY_ODDS).otherwise(0.0)).drop("copied", "body")
     # upwards: what the files tell their folders
-    told = observed.select("repo", "folder", *[m.alias(f"m{i}") for i, m in enumerate(_message(_cols("e"), False))])
+    told = observed.select("repo", "folder", *_COLUMNS).mapInArrow(partial(_upwards, prefix="e", keep=["repo", "folder"]), "repo string, folder string, " + _doubles("m"))
     from_files = cut(told.groupBy("repo", "folder").agg(*[F.sum(f"m{i}").alias(f"s{i}") for i in range(5)], F.count(F.lit(1)).alias("n")))
     parts = F.split(F.ltrim(F.col("folder"), F.lit("/")), "/")
     ancestors = F.when(F.col("folder") == "/", F.array(F.lit("/"))).otherwise(
         F.concat(F.array(F.lit("/")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
     )
-    folders = from_files.select("repo", F.explode(ancestors).alias("folder")).distinct().mapInArrow(_named, "repo string, folder string, " + ", ".join(f"e{i} double" for i in range(5)))
+    folders = from_files.select("repo", F.explode(ancestors).alias("folder")).distinct().mapInArrow(_named, "repo string, folder string, " + _doubles("e"))
     zero = F.lit(0.0)
     depth = F.when(F.col("folder") == "/", 0).otherwise(F.size(F.split("folder", "/")) - 1)
     nodes = cut(
@@ -221,7 +252,7 @@ def file_labels(files: DataFrame) -> DataFrame:
         return seen.select("file_id", F.lit("handwritten").alias("label"), F.lit(1.0).alias("p_handwritten"))
     up = {deepest: nodes.where(F.col("depth") == deepest)}
     for level in range(deepest - 1, -1, -1):
-        below = up[level + 1].select("repo", F.col("parent").alias("folder"), *[m.alias(f"m{i}") for i, m in enumerate(_message(_cols("u"), False))])
+        below = up[level + 1].select("repo", F.col("parent").alias("folder"), *[f"u{i}" for i in range(5)]).mapInArrow(partial(_upwards, prefix="u", keep=["repo", "folder"]), "repo string, folder string, " + _doubles("m"))
         gathered = below.groupBy("repo", "folder").agg(*[F.sum(f"m{i}").alias(f"c{i}") for i in range(5)])
         up[level] = cut(nodes.where(F.col("depth") == level).join(gathered, ["repo", "folder"], "left").select("repo", "folder", "parent", "depth", *[(F.col(f"u{i}") + F.coalesce(f"c{i}", zero)).alias(f"u{i}") for i in range(5)]))
     # downwards: each folder's belief without what the receiver itself has said
@@ -230,27 +261,13 @@ def file_labels(files: DataFrame) -> DataFrame:
     for level in range(1, deepest + 1):
         above = down.select("repo", F.col("folder").alias("parent"), *[F.col(f"d{i}").alias(f"q{i}") for i in range(5)])
         joined = salted_join(up[level], above, ["repo", "parent"], "folder")
-        said = _message(_cols("u"), False)
-        cavity = [F.col(f"q{i}") - said[i] for i in range(5)]
-        top = F.greatest(*cavity)
-        down = cut(
-            joined.select("repo", "folder", *[F.col(f"u{i}") for i in range(5)], *[(c - top).alias(f"v{i}") for i, c in enumerate(cavity)])
-            .select("repo", "folder", *[(F.col(f"u{i}") + m).alias(f"d{i}") for i, m in enumerate(_message(_cols("v"), True))])
-        )
+        down = cut(joined.select("repo", "folder", *[f"u{i}" for i in range(5)], *[f"q{i}" for i in range(5)]).mapInArrow(_downwards, "repo string, folder string, " + _doubles("d")))
         beliefs.append(down)
     every = beliefs[0]
     for b in beliefs[1:]:
         every = every.unionByName(b)
     joined = salted_join(observed, every, ["repo", "folder"], "file_id")
-    said = _message(_cols("e"), False)
-    prior = joined.select("file_id", *_cols("e"), *[(F.col(f"d{i}") - said[i]).alias(f"v{i}") for i in range(5)])
-    belief = prior.select("file_id", *[(F.col(f"e{i}") + m).alias(f"b{i}") for i, m in enumerate(_message(_cols("v"), True))])
-    top = F.greatest(*_cols("b"))
-    total = sum((F.exp(F.col(f"b{i}") - top) for i in range(1, 5)), F.exp(F.col("b0") - top))
-    label = F.when(F.col("b0") == top, LABELS[0])
-    for i in range(1, 5):
-        label = label.when(F.col(f"b{i}") == top, LABELS[i])
-    return belief.select("file_id", label.alias("label"), (F.exp(F.col("b0") - top) / total).alias("p_handwritten"))
+    return joined.select("file_id", *_COLUMNS, *[f"d{i}" for i in range(5)]).mapInArrow(_decide, "file_id bigint, label string, p_handwritten double")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
