@@ -50,3 +50,11 @@ def cut(df: DataFrame) -> DataFrame:
 def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df only if a count (never more than limit + 1 rows) shows it to be small; else leave the join to Catalyst."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join rows, of which one key may hold a large part, with at most one row per key: broadcast if counted small, else salted."""
+    if unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(unique), keys, how)
+    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")
