@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcatlas.functions.policy import eligible, looks_binary
@@ -21,7 +21,7 @@ INDEX_VERSION = 1
 TABLES = ("files", "words", "trigrams", "symbols", "imports", "edges")
 
 
-def files_from_text(df: DataFrame, id_col: str, text_col: str, path: F.Column | None = None) -> DataFrame:
+def files_from_text(df: DataFrame, id_col: str, text_col: str, path: Column | None = None) -> DataFrame:
     """Any table of texts as a files table; null texts are left out."""
     name = path if path is not None else F.concat(F.lit("doc/"), F.lpad(F.col(id_col).cast("string"), 10, "0"), F.lit(".txt"))
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("file_id"), name.alias("path"), F.col(text_col).alias("text"))
@@ -33,13 +33,11 @@ def files_from_scan(scan: DataFrame) -> DataFrame:
     The rank is taken over path ranges, so that no task sorts all paths.
     """
     kept = scan.where(~looks_binary(F.col("content")))
-    text = F.decode(F.col("content"), "UTF-8")
-    rows = kept.select(
-        "path", F.length("content").cast("bigint").alias("bytes"), "mtime_ms", F.sha2("content", 256).alias("hash"), F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).alias("ext"), "is_utf8", "text"
-    ) if "text" in scan.columns else kept.select("path", F.length("content").cast("bigint").alias("bytes"), "mtime_ms", F.sha2("content", 256).alias("hash"), F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)).alias("ext"), F.is_valid_utf8(text).alias("is_utf8"), text.alias("text"))
+    # undecodable bytes become replacement characters; the scan says whether there were any
+    lossy = F.make_valid_utf8(F.col("content").cast("string"))
+    ext = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
+    rows = kept.select("path", F.length("content").cast("bigint").alias("bytes"), "mtime_ms", F.sha2("content", 256).alias("hash"), ext.alias("ext"), "is_utf8", lossy.alias("text"))
     ranged = rows.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    from pyspark.sql import Window
-
     sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
     ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("path")))
@@ -94,7 +92,6 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
     """One row of counts, each exact."""
-    spark = tables["files"].sparkSession
     counts = [
         tables["files"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("files").alias("k"), "n"),
         *[tables[t].agg(F.countDistinct("term").alias("n")).select(F.lit(t).alias("k"), "n") for t in ("words", "trigrams") if t in tables],
@@ -110,8 +107,7 @@ def status(tables: dict[str, DataFrame]) -> DataFrame:
     rows = counts[0]
     for c in counts[1:]:
         rows = rows.unionByName(c)
-    names = [n for n in ("files", "words", "trigrams", "symbols", "symbol_names", "deps_files", "deps_forward", "deps_reverse")]
-    del spark
+    names = ["files", "words", "trigrams", "symbols", "symbol_names", "deps_files", "deps_forward", "deps_reverse"]
     return rows.groupBy().pivot("k", names).agg(F.first("n"))
 
 
@@ -174,8 +170,6 @@ def upsert_files(base: DataFrame, changed: DataFrame, max_bytes: int | None = No
 
     Changed files that are not eligible are removed. `changed` has (path, text).
     """
-    from pyspark.sql import Window
-
     wanted = changed.where(eligible(F.col("path"), F.octet_length("text"), *([max_bytes] if max_bytes else []))) if max_bytes else changed
     known = base.select("path", F.col("file_id").alias("old_id"))
     matched = wanted.join(known, "path", "left")
@@ -189,7 +183,7 @@ def upsert_files(base: DataFrame, changed: DataFrame, max_bytes: int | None = No
 
 def merge_postings(base: DataFrame, changed_ids: DataFrame, new: DataFrame) -> DataFrame:
     """A per-file table with the rows of changed files replaced."""
-    return base.join(changed_ids.select("file_id").distinct(), "file_id", "left_anti").unionByName(new)
+    return base.join(changed_ids.select("file_id").distinct(), "file_id", "left_anti").select(*base.columns).unionByName(new)
 
 
 def remove_files(tables: dict[str, DataFrame], removed_ids: DataFrame) -> dict[str, DataFrame]:

@@ -61,7 +61,7 @@ def capped(text: Column, max_bytes: int | None) -> Column:
     """The text cut after max_bytes bytes, before it is split; a character cut in two becomes a replacement character."""
     if max_bytes is None:
         return text
-    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.try_validate_utf8(F.make_valid_utf8(F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "UTF-8"))))
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, max_bytes).cast("string")))
 
 
 def numbered(files: DataFrame, max_bytes: int | None = None) -> DataFrame:

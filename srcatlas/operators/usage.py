@@ -46,5 +46,9 @@ def gain(events: DataFrame) -> DataFrame:
     # grouping_id has a bit for each key that is not grouped by
     dimension = F.when(F.col("g") == 7, "mode").when(F.col("g") == 11, "level").when(F.col("g") == 13, "parser").when(F.col("g") == 14, "savings_source").otherwise("total")
     bucket = F.when(F.col("g") == 7, F.col("mode")).when(F.col("g") == 11, F.col("level")).when(F.col("g") == 13, F.col("parser")).when(F.col("g") == 14, F.col("savings_source")).otherwise("total")
+    rows = grouped.select(dimension.alias("dimension"), bucket.alias("bucket"), "events", *COUNTERS).where(F.col("bucket").isNotNull())
+    # an empty log still has a total, of zeros
+    none = events.sparkSession.range(1).select(F.lit("total").alias("dimension"), F.lit("total").alias("bucket"), *[F.lit(0).cast("bigint").alias(c) for c in ("events", *COUNTERS)])
+    summed = rows.unionByName(none).groupBy("dimension", "bucket").agg(*[F.sum(c).alias(c) for c in ("events", *COUNTERS)])
     ratio = F.when(F.col("tokens_raw_est") == 0, 0.0).otherwise(F.col("tokens_saved_est") / F.col("tokens_raw_est"))
-    return grouped.select(dimension.alias("dimension"), bucket.alias("bucket"), "events", *COUNTERS, ratio.alias("ratio")).where(F.col("bucket").isNotNull())
+    return summed.withColumn("ratio", ratio)

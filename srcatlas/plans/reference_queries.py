@@ -236,7 +236,7 @@ def imports_ruby(spark: SparkSession, sf: str) -> DataFrame:
     return _imports(spark, sf, "rb")
 
 
-@query(_line_import_sql("py", "^(import|from) ", "regexp_replace(t, '^(import|from) ', '')", "x").replace("'x' AS kind", "CASE WHEN t[1] = 'i' THEN 'python_import' ELSE 'python_from_import' END AS kind").replace("AND", "AND") + " AND NOT regexp_matches(t, '[{;]')")
+@query(_line_import_sql("py", "^(import|from) ", "regexp_replace(t, '^(import|from) ', '')", "x").replace("'x' AS kind", "CASE WHEN t[1] = 'i' THEN 'python_import' ELSE 'python_from_import' END AS kind") + " AND NOT regexp_matches(t, '[{;]')")
 def imports_python(spark: SparkSession, sf: str) -> DataFrame:
     """Over the Python files that hold Python, not a copy of another language."""
     return _imports(spark, sf, "py").where(~F.rlike("module", F.lit("[{;]")))
@@ -612,10 +612,9 @@ def edit_delete(spark: SparkSession, sf: str) -> DataFrame:
 # streaming --------------------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS n_errors FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS n_errors FROM events GROUP BY user_id")
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Events drained as a stream into a table, each batch merged once, then counted: equal to the batch result."""
-    import shutil
     import uuid
 
     from srcatlas.plans.runtime import ensure_checkpoint_dir
@@ -624,13 +623,12 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf}/events.parquet"
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source if not source.startswith("file") else source)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(source)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors")).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
     merge_stream(stream, merge, f"{base}/state").awaitTermination()
-    del shutil
     return spark.read.parquet(f"{base}/out").groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("n_errors").alias("n_errors"))
 
 
