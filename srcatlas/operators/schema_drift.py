@@ -138,7 +138,7 @@ def _with_before(files: DataFrame) -> DataFrame:
 
 def file_steps(records: DataFrame) -> DataFrame:
     """Each file but the first of its series, beside the file before: (stream, series, file_seq, log_file, before, fields)."""
-    files = file_schemas(records)
+    files = cut(file_schemas(records))  # read three times below; one row per file
     linked = files.join(_with_before(files), ["stream", "series", "file_seq"])
     after = linked.where(F.col("before_seq").isNotNull())
     before = files.groupBy("stream", "series", F.col("file_seq").alias("before_seq")).agg(F.max_by("fields", "log_file").alias("before"))
