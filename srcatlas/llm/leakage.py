@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from srcatlas.plans.runtime import spread
 
 #: Share of an item's words that a window must hold in order, and of its rare words.
-WORDS_SHARE, RARE_SHARE = 0.5, 0.34
+WORDS_SHARE, RARE_SHARE = 0.5, 0.2
 #: A word is rare if no more documents than this share, or this number, hold it.
 RARE_DOCS, RARE_LEAST = 0.003, 5
+#: With fewer rare words an item goes by its rarest ones.
+FEW = 5
 #: Rare words of an item further apart than this many item lengths belong to different passages.
 GAP = 0.9
 #: Items that are looked for at once; more are taken in further blocks.
@@ -63,8 +65,10 @@ class Items:
             if not w:
                 continue
             ordered = sorted(set(w), key=lambda x: (docs_with.get(x, 0), x))
-            rare = [x for x in ordered if docs_with.get(x, 0) <= limit] or ordered[: max(1, len(ordered) // 4)]
-            need = max(1, math.ceil(RARE_SHARE * len(rare)))
+            rare = [x for x in ordered if docs_with.get(x, 0) <= limit]
+            if len(rare) < FEW:  # an item that leaked very often: its rarest words, however frequent
+                rare = ordered[: max(FEW, len(ordered) // 4)]
+            need = max(min(2, len(rare)), math.ceil(RARE_SHARE * len(rare)))
             self.rare[i], self.need[i] = {x: n for n, x in enumerate(rare)}, need
             for x in rare[: len(rare) - need + 1]:  # any document with `need` of them holds one of these
                 self.prefix.setdefault(x, []).append(i)

@@ -40,6 +40,8 @@ FOLDER_NAMES = (
     (re.compile(r"(?i)^(?:min|minified)$"), 2, 3.0),
     (re.compile(r"(?i)^(?:blobs?|weights)$"), 4, 1.0),
 )
+#: Below it the evidence for vendored marks configuration.
+NO_CODE = -10.0
 #: A file found in so many repos counts as copied.
 COPY_REPOS, COPY_ODDS = 2, 5.0
 
@@ -179,6 +181,13 @@ def _message(values: np.ndarray, to_child: bool) -> np.ndarray:
     return np.logaddexp.reduce(values[:, None, :] + table[None, :, :], axis=2)
 
 
+def _told(e: np.ndarray) -> np.ndarray:
+    """A file's message to its folder. Configuration lies in folders of every kind and says nothing about them."""
+    m = _message(e, False)
+    m[e[:, 3] < NO_CODE] = 0
+    return m
+
+
 def _matrix(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
     return np.column_stack([batch.column(f"{prefix}{i}").to_numpy(zero_copy_only=False) for i in range(5)]).astype(float)
 
@@ -190,7 +199,8 @@ def _with(batch: pa.RecordBatch, keep: list[str], prefix: str, values: np.ndarra
 def _upwards(batches: Iterator[pa.RecordBatch], prefix: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     """What files or folders (their potentials under prefix) tell the folder above."""
     for batch in batches:
-        yield _with(batch, keep, "m", _message(_matrix(batch, prefix), False))
+        x = _matrix(batch, prefix)
+        yield _with(batch, keep, "m", _told(x) if prefix == "e" else _message(x, False))
 
 
 def _downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +215,7 @@ def _downwards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         e, d = _matrix(batch, "e"), _matrix(batch, "d")
-        cavity = d - _message(e, False)
+        cavity = d - _told(e)
         belief = e + _message(cavity - cavity.max(axis=1, keepdims=True), True)
         share = np.exp(belief - np.logaddexp.reduce(belief, axis=1)[:, None]) if len(belief) else belief
         best = belief.argmax(axis=1) if len(belief) else np.empty(0, int)

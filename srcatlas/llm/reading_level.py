@@ -166,7 +166,7 @@ def fit_limits(points: list[tuple[float, float]]) -> list[float]:
 
 def fitted_limits(documents: DataFrame, labels: DataFrame) -> dict[str, list[float]]:
     """Band limits per language ('' for all together) from the raters' median band of at most LABELLED documents."""
-    rated = labels.where(F.col("band").between(1, BANDS) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "rater", "band"]).groupBy("doc_id").agg(F.avg("band").alias("label"))
+    rated = labels.where(F.col("band").between(1, BANDS) & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "rater", "band"]).groupBy("doc_id").agg(F.avg("band").cast("double").alias("label"))
     sample = F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED))  # bounded by LABELLED
     texts = documents.select("doc_id", "text").join(sample.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     got = texts.mapInArrow(_grades, _SCHEMA).join(sample, "doc_id").select("text_lang", "grade", "label").collect()
