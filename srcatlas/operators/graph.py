@@ -53,7 +53,7 @@ def rdeps(edge_rows: DataFrame, files: DataFrame, path: str) -> DataFrame:
     return files.select("file_id", "path").join(sources, "file_id").orderBy("file_id")
 
 
-def adjacency(edge_rows: DataFrame, reverse: bool = False) -> DataFrame:
-    """(file_id, neighbours) of files with any."""
+def adjacency(edge_rows: DataFrame, reverse: bool = False, block: int = 1 << 16) -> DataFrame:
+    """(file_id, block, neighbours) of files with any, sorted; blocks of neighbours bound each array, however many files import one."""
     a, b = ("dst_id", "src_id") if reverse else ("src_id", "dst_id")
-    return edge_rows.groupBy(F.col(a).alias("file_id")).agg(F.sort_array(F.collect_set(b)).alias("neighbours"))
+    return edge_rows.groupBy(F.col(a).alias("file_id"), F.floor(F.col(b) / block).alias("block")).agg(F.sort_array(F.collect_set(b)).alias("neighbours"))

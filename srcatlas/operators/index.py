@@ -70,9 +70,13 @@ def trigram_postings(files: DataFrame) -> DataFrame:
     return spread(files.select("file_id", "text")).select(F.explode(trigram_terms(F.col("text"))).alias("term"), "file_id")
 
 
-def inverted(postings: DataFrame) -> DataFrame:
-    """(term, file_ids): the grouped view. For terms with very many files use the long form instead."""
-    return postings.groupBy("term").agg(F.sort_array(F.collect_set("file_id")).alias("file_ids"))
+#: File ids per block of a posting list.
+BLOCK = 1 << 16
+
+
+def inverted(postings: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(term, block, file_ids): the grouped view, sorted. Blocks of file ids bound each array, however many files hold a term."""
+    return postings.groupBy("term", F.floor(F.col("file_id") / block).alias("block")).agg(F.sort_array(F.collect_set("file_id")).alias("file_ids"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

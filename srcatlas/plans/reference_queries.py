@@ -98,7 +98,7 @@ def trigram_postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.document_frequency(index.trigram_postings(doc_files(spark, sf)))
 
 
-@query(f"WITH {_SRC}, {_WORDS.format('src')} SELECT term, list_sort(list(file_id)) AS file_ids FROM words_t GROUP BY term")
+@query(f"WITH {_SRC}, {_WORDS.format('src')} SELECT term, file_id // 65536 AS block, list_sort(list(file_id)) AS file_ids FROM words_t GROUP BY ALL")
 def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return index.inverted(index.word_postings(source_files(spark, sf)))
 
@@ -285,7 +285,7 @@ def deps_edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edges(graph.resolve_imports(imports.extract_imports(f), f))
 
 
-@query(f"WITH {_RESOLVED} SELECT target AS file_id, list_sort(list(file_id)) AS neighbours FROM r WHERE target IS NOT NULL GROUP BY target")
+@query(f"WITH {_RESOLVED} SELECT target AS file_id, file_id // 65536 AS block, list_sort(list(file_id)) AS neighbours FROM r WHERE target IS NOT NULL GROUP BY ALL")
 def deps_reverse(spark: SparkSession, sf: str) -> DataFrame:
     f = _modules(spark, sf)
     return graph.adjacency(graph.edges(graph.resolve_imports(imports.extract_imports(f), f)), reverse=True)
