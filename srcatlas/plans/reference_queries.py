@@ -109,6 +109,19 @@ def status(spark: SparkSession, sf: str) -> DataFrame:
     return index.status({"files": f, "words": index.word_postings(f), "trigrams": index.trigram_postings(f)}).select("files", "words", "trigrams")
 
 
+@query(f"WITH {_DOCS}, {_WORDS.format('docs')}, {_TRIGRAMS.format('docs')} SELECT (SELECT count(*) FROM docs) AS files, (SELECT count(DISTINCT term) FROM words_t) AS words, (SELECT count(DISTINCT term) FROM trigrams_t) AS trigrams")
+def saved_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts from an index that was saved, found valid by its manifest, and loaded."""
+    import uuid
+
+    from srcatlas.plans.runtime import ensure_checkpoint_dir
+
+    f = doc_files(spark, sf)
+    folder = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.save({"files": index.files_table(f), "words": index.word_postings(f), "trigrams": index.trigram_postings(f)}, folder, {"source": "documents"})
+    return index.status(index.load(spark, folder, {"source": "documents"})).select("files", "words", "trigrams")
+
+
 @query()
 def status_sources(spark: SparkSession, sf: str) -> DataFrame:
     return index.status(index.build(source_files(spark, sf).select("file_id", "path", "ext", "bytes", "lines", "line_offsets", "hash", "mtime_ms", "is_utf8", "text")))
@@ -158,6 +171,11 @@ def search_via_index(spark: SparkSession, sf: str) -> DataFrame:
     return search.search(f, "second look", None, index.trigram_postings(f))
 
 
+@query(f"SELECT path || ':' || line || ': ' || text AS value FROM ({_search_sql('second look', None)})")
+def search_formatted(spark: SparkSession, sf: str) -> DataFrame:
+    return search.format_hits(search.search(doc_files(spark, sf), "second look", None))
+
+
 @query(f"WITH {_DOCS}, {_TRIGRAMS.format('docs')} SELECT file_id FROM trigrams_t WHERE term IN ('sna', 'nap', 'aps', 'psh', 'sho', 'hot') GROUP BY file_id HAVING count(*) = 6")
 def trigram_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return search.candidate_files("Snapshot", index.trigram_postings(doc_files(spark, sf)))
@@ -256,7 +274,10 @@ def imports_js(spark: SparkSession, sf: str) -> DataFrame:
     return _imports(spark, sf, "js", "ts")
 
 
-@query()
+@query(
+    f"WITH {_SRC}, {_lines('src')}, o AS (SELECT file_id, min(line) AS a FROM lines WHERE ext = 'go' AND text = 'import (' GROUP BY file_id), c AS (SELECT file_id, a, min(line) AS b FROM lines JOIN o USING (file_id) WHERE text = ')' AND line > a GROUP BY ALL) "
+    "SELECT file_id, regexp_extract(text, '\"([^\"]+)\"', 1) AS module, line, 'go_import' AS kind FROM lines JOIN c USING (file_id) WHERE line > a AND line < b AND contains(text, '\"')"
+)
 def imports_go(spark: SparkSession, sf: str) -> DataFrame:
     return _imports(spark, sf, "go")
 
@@ -488,7 +509,22 @@ def tests_aware_totals(spark: SparkSession, sf: str) -> DataFrame:
     return reports.tests_aware_totals(_test_sources(spark, sf))
 
 
-@query()
+_RULES = [
+    ("ext = 'rs'", "t = '#[test]' OR starts_with(t, '#[tokio::test') OR starts_with(t, '#[async_std::test')", "rust-test"), ("ext = 'py'", "contains(low, 'pytest')", "pytest"), ("ext = 'py'", "contains(low, 'unittest')", "unittest"),
+    ("ext IN ('js', 'ts')", "regexp_matches(t, '(^|[^A-Za-z0-9_])(describe|it|test)\\(')", "js-test-runner"), ("ext IN ('js', 'ts')", "contains(low, 'jest')", "jest"), ("ext IN ('js', 'ts')", "contains(low, 'vitest') OR contains(t, 'vi.')", "vitest"),
+    ("ext = 'go'", "contains(t, 'func Test') OR contains(t, 'testing.T')", "go-test"), ("ext = 'java'", "contains(t, '@Test') OR contains(low, 'org.junit')", "junit"), ("ext = 'rb'", "contains(t, 'RSpec.describe') OR starts_with(t, 'describe ')", "rspec"),
+]
+_FRAMEWORKS = "list_filter([" + ", ".join(f"CASE WHEN {a} AND ({b}) THEN '{c}' END" for a, b, c in _RULES) + "], lambda x: x IS NOT NULL)"
+_TEST_LANGUAGE = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in reports.TEST_LANGUAGES.items()) + " ELSE 'Unknown' END"
+
+
+@query(
+    f"""WITH {_SRC}, u AS (SELECT file_id, path, ext, text FROM src WHERE is_utf8), {_lines('u')}, t0 AS (SELECT file_id, path, ext, line, {_TRIM.format('text')} AS t FROM lines), t1 AS (SELECT *, lower(t) AS low FROM t0),
+f AS (SELECT *, {_FRAMEWORKS} AS fw, regexp_matches(path, '/(tests|test|__tests__)/') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '^test_|(_test\.rs|_test\.go|_test\.py|\.test\.js|\.test\.ts|\.test\.tsx|\.spec\.js|\.spec\.ts|\.spec\.tsx|test\.java|tests\.cs)$') AS in_path,
+  starts_with(t, 'assert ') OR contains(t, ' assert ') OR contains(t, 'assert!(') OR contains(t, 'assert_eq!(') OR contains(t, 'assert_ne!(') OR contains(t, 'expect(') OR contains(t, 'assertThat(') OR contains(low, 'assert_') OR contains(low, 'require.') AS a FROM t1),
+g AS (SELECT *, min(CASE WHEN len(fw) > 0 THEN line END) OVER (PARTITION BY file_id) AS first FROM f)
+SELECT path, {_TEST_LANGUAGE} AS language, coalesce(list_sort(list_distinct(flatten(list(fw)))), []) AS frameworks, CAST(count_if(a AND (in_path OR coalesce(line >= first, FALSE))) AS BIGINT) AS assertions FROM g GROUP BY file_id, path, ext, in_path HAVING in_path OR max(len(fw)) > 0"""
+)
 def tests_aware_sources(spark: SparkSession, sf: str) -> DataFrame:
     return reports.tests_aware_files(source_files(spark, sf)).select("path", "language", "frameworks", "assertions")
 
