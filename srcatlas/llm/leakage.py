@@ -32,6 +32,7 @@ GAP = 0.9
 BLOCK = 5000
 
 _MARKUP = regex.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[a-z]{2,8}|#\d{1,6});")
+_SENTENCE = regex.compile(r"(?<=[.?!])\s+")
 _WORD = regex.compile(r"[\p{L}\p{N}_]+(?:['’][\p{L}]+)?")
 
 
@@ -61,7 +62,9 @@ class Items:
         self.prefix: dict[str, list[int]] = {}
         self.need: dict[int, int] = {}
         self.masks: dict[int, dict[str, int]] = {}
-        for i, w in self.words.items():
+        self.inner: dict[int, set[str]] = {}
+        for i, text in items:
+            w = self.words[i]
             if not w:
                 continue
             ordered = sorted(set(w), key=lambda x: (docs_with.get(x, 0), x))
@@ -76,6 +79,9 @@ class Items:
             for n, x in enumerate(w):
                 masks[x] = masks.get(x, 0) | 1 << n
             self.masks[i] = masks
+            # rare words between the opening and the closing sentence: those two alone are no leak
+            middle = [x for sentence in _SENTENCE.split(_MARKUP.sub(" ", text).strip())[1:-1] for x in words(sentence)]
+            self.inner[i] = {x for x in middle if x in self.rare[i]}
 
     def common(self, item: int, window: list[str]) -> int:
         """Length of the longest common subsequence, bit-parallel over the item's words."""
@@ -104,7 +110,8 @@ class Items:
                 if k < len(spots) and spots[k] - spots[k - 1] <= max(20, GAP * n):
                     continue
                 cluster, start = spots[start:k], k
-                if len({doc[s] for s in cluster}) < self.need[i]:
+                held = {doc[s] for s in cluster}
+                if len(held) < self.need[i] or self.inner[i] and not held & self.inner[i]:
                     continue
                 window = doc[max(0, cluster[0] - n) : cluster[-1] + n + 1]
                 if self.common(i, window) >= WORDS_SHARE * n:
