@@ -21,10 +21,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, at_least: int | None = None) -> DataFrame:
-    """Give per-row Python work enough tasks: a table in few files is dealt out round robin, one in many is left alone."""
+    """Give per-row work enough tasks: a small table in few files is dealt out round robin, one of many files or splits is left alone."""
     spark = df.sparkSession
     want = at_least or spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= want else df.repartition(max(want, shuffle_partitions(spark)))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= want * split or len(df.inputFiles()) >= want:
+        return df
+    return df.repartition(max(want, shuffle_partitions(spark)))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
