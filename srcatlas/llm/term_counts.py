@@ -151,17 +151,15 @@ def term_counts(indexes: dict[str, DataFrame], files: DataFrame) -> DataFrame:
     heavy = load.orderBy(F.desc("n")).limit(4 * partitions).collect()
     total = sum(x["n"] for x in heavy)
     share = max(1, total // (4 * partitions))
-    hot = {(x["index_no"], x["prefix"]): -(-x["n"] // share) for x in heavy if x["prefix"] is not None and x["n"] > share}
-    prefix, longer = F.lower(F.substring("term", 1, PREFIX)), F.substring("term", 1, LONGER)
-    key = F.concat_ws("|", F.col("index_no"), prefix)
-    splits = F.lit(1)
-    if hot:
-        known = F.create_map(*[x for (i, p), n in hot.items() for x in (F.lit(f"{i}|{p}"), F.lit(n))])
-        splits = F.coalesce(F.try_element_at(known, key), F.lit(1))
+    hot = [(x["index_no"], x["prefix"], -(-x["n"] // share)) for x in heavy if x["prefix"] is not None and x["n"] > share]
+    # at most 4 * partitions rows: bounded, so it may be broadcast
+    splits = F.broadcast(spark.createDataFrame(hot, "index_no int, prefix string, splits int"))
+    rows_of = rows.withColumn("prefix", F.lower(F.substring("term", 1, PREFIX))).join(splits, ["index_no", "prefix"], "left")
+    key = F.concat_ws("|", F.col("index_no"), F.col("prefix"))
     # cold prefixes stay whole; a hot one is spread over its longer prefixes, one of which may again be split by file
-    route = F.when(splits > 1, F.concat_ws("|", key, longer, F.pmod(F.xxhash64("file_id"), splits))).otherwise(key)
+    route = F.when(F.col("splits") > 1, F.concat_ws("|", key, F.substring("term", 1, LONGER), F.pmod(F.xxhash64("file_id"), F.col("splits")))).otherwise(key)
     counted = (
-        rows.withColumn("route", route).repartition(partitions, "route").select("index_no", "term", "file_id", "n_hits")
+        rows_of.withColumn("route", route).repartition(partitions, "route").select("index_no", "term", "file_id", "n_hits")
         .sortWithinPartitions("index_no", "term", "file_id")
         .mapInArrow(_count, "index_no int, term string, occurrences bigint, n_files bigint")
     )
