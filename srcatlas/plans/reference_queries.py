@@ -519,7 +519,7 @@ _TEST_LANGUAGE = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in r
 
 
 @query(
-    f"""WITH {_SRC}, u AS (SELECT file_id, path, ext, text FROM src WHERE is_utf8), {_lines('u')}, t0 AS (SELECT file_id, path, ext, line, {_TRIM.format('text')} AS t FROM lines), t1 AS (SELECT *, lower(t) AS low FROM t0),
+    rf"""WITH {_SRC}, u AS (SELECT file_id, path, ext, text FROM src WHERE is_utf8), {_lines('u')}, t0 AS (SELECT file_id, path, ext, line, {_TRIM.format('text')} AS t FROM lines), t1 AS (SELECT *, lower(t) AS low FROM t0),
 f AS (SELECT *, {_FRAMEWORKS} AS fw, regexp_matches(path, '/(tests|test|__tests__)/') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '^test_|(_test\.rs|_test\.go|_test\.py|\.test\.js|\.test\.ts|\.test\.tsx|\.spec\.js|\.spec\.ts|\.spec\.tsx|test\.java|tests\.cs)$') AS in_path,
   starts_with(t, 'assert ') OR contains(t, ' assert ') OR contains(t, 'assert!(') OR contains(t, 'assert_eq!(') OR contains(t, 'assert_ne!(') OR contains(t, 'expect(') OR contains(t, 'assertThat(') OR contains(low, 'assert_') OR contains(low, 'require.') AS a FROM t1),
 g AS (SELECT *, min(CASE WHEN len(fw) > 0 THEN line END) OVER (PARTITION BY file_id) AS first FROM f)
