@@ -1,14 +1,16 @@
 """Evaluation texts leaking into training text (problem 9): a prefix-filtered set join with exact verification.
 
 The shingles are single words, as a leak may have words changed or put in every few words, which would break longer ones. An item's
-words are ordered by rarity in the corpus; a document can only hold enough of an item's rare words if it holds one of a necessary
-prefix of them. Candidates are bounded by how many rare words lie close together, then verified exactly: the longest common
-subsequence with the item inside a window of the item's size must reach half of the item's words.
+words are ordered by rarity in the corpus, the documents that hold half of the item in order left out, so that an item that leaked
+often keeps its rare words; a document can only hold enough of them if it holds one of a necessary prefix of them. Candidates are
+bounded by how many rare words lie close together, then verified exactly: the longest common subsequence with the item inside a window
+of the item's size must reach half of the item's words.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -24,6 +26,8 @@ from srcatlas.plans.runtime import spread
 WORDS_SHARE, RARE_SHARE = 0.5, 0.2
 #: A word is rare if no more documents than this share, or this number, hold it.
 RARE_DOCS, RARE_LEAST = 0.003, 5
+#: Words of a window, in item lengths, that half of an item may be spread over.
+WINDOW = 1.5
 #: With fewer rare words an item goes by its rarest ones.
 FEW = 5
 #: Rare words of an item further apart than this many item lengths belong to different passages.
@@ -41,22 +45,77 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(_MARKUP.sub(" ", text).lower()) if text else []
 
 
-def _document_counts(batches: Iterator[pa.RecordBatch], vocabulary: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of the partition each word of the items occurs; '' counts all documents."""
-    counts: dict[str, int] = {"": 0}
+class Overlaps:
+    """Which items of a block a document may hold half of, by the words alone, and how often each (word, item) is in such documents."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        self.ids = [i for i, _ in items]
+        texts = [words(t) for _, t in items]
+        held: dict[str, list[tuple[int, int]]] = {}
+        for k, w in enumerate(texts):
+            for x, n in Counter(w).items():
+                held.setdefault(x, []).append((k, n))
+        self.half = np.array([max(1, math.ceil(WORDS_SHARE * len(w))) for w in texts])
+        #: word -> numbers of its (word, item) pairs, items, times in each
+        self.postings: dict[str, np.ndarray] = {}
+        self.pairs: list[tuple[str, int]] = []
+        for x, of in held.items():
+            self.postings[x] = np.array([(len(self.pairs) + p, k, n) for p, (k, n) in enumerate(of)]).T
+            self.pairs += [(x, self.ids[k]) for k, _ in of]
+
+    def __call__(self, held: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the items of which the words are at least half of all, and the pairs of words and such items."""
+        pairs, items, times = np.concatenate([self.postings[w] for w in held], axis=1)
+        may = np.bincount(items, times, len(self.ids)) >= self.half
+        return np.flatnonzero(may), pairs[may[items]]
+
+
+def _document_counts(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of the partition each word of the items occurs, '' counting all; with an item, in how many that may hold half of it."""
+    overlaps, counts = Overlaps(items), Counter({"": 0})
+    within = np.zeros(len(overlaps.pairs), np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
             counts[""] += 1
-            for w in vocabulary.intersection(words(text)):
-                counts[w] = counts.get(w, 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            held = overlaps.postings.keys() & set(words(text))
+            if held:
+                counts.update(held)
+                within[overlaps(held)[1]] += 1
+    some = np.flatnonzero(within)
+    pairs = [overlaps.pairs[k] for k in some]
+    columns = [[*counts, *(w for w, _ in pairs)], [*[None] * len(counts), *(i for _, i in pairs)], [*counts.values(), *within[some].tolist()]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["word", "item_id", "n"])
+
+
+def _leaks_with(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], doubtful: dict[int, set[str]]) -> Iterator[pa.RecordBatch]:
+    """In how many documents of the partition that hold half of an item in order each of its doubtful words occurs."""
+    of = [x for x in items if x[0] in doubtful]
+    overlaps, block, counts = Overlaps(of), Items(of, {}), Counter()
+    every = frozenset(w for x in doubtful.values() for w in x)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            doc = words(text)
+            held = set(doc)
+            if every.isdisjoint(held):
+                continue
+            for k in overlaps(overlaps.postings.keys() & held)[0]:
+                i = overlaps.ids[k]
+                some = doubtful[i] & held
+                if some and next(block.passages(i, doc), None):
+                    counts.update((w, i) for w in some)
+    columns = [[w for w, _ in counts], [i for _, i in counts], list(counts.values())]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["word", "item_id", "n"])
+
+
+def _rare_limit(docs_with: dict[str, int]) -> float:
+    return max(RARE_LEAST, RARE_DOCS * docs_with.get("", 0))
 
 
 class Items:
     """A block of items with their words in order, their rare words and the necessary prefixes."""
 
-    def __init__(self, items: list[tuple[int, str]], docs_with: dict[str, int]) -> None:
-        limit = max(RARE_LEAST, RARE_DOCS * docs_with.get("", 0))
+    def __init__(self, items: list[tuple[int, str]], docs_with: dict[str, int], leaks_with: dict[tuple[str, int], int] | None = None) -> None:
+        limit, leaks_with = _rare_limit(docs_with), leaks_with or {}
         self.words = {i: words(t) for i, t in items}
         self.rare: dict[int, dict[str, int]] = {}
         self.prefix: dict[str, list[int]] = {}
@@ -67,9 +126,11 @@ class Items:
             w = self.words[i]
             if not w:
                 continue
-            ordered = sorted(set(w), key=lambda x: (docs_with.get(x, 0), x))
-            rare = [x for x in ordered if docs_with.get(x, 0) <= limit]
-            if len(rare) < FEW:  # an item that leaked very often: its rarest words, however frequent
+            elsewhere = {x: docs_with.get(x, 0) - leaks_with.get((x, i), 0) for x in w}  # in documents that do not hold half of the item
+            ordered = sorted(elsewhere, key=lambda x: (docs_with.get(x, 0), x))
+            rare = [x for x in ordered if elsewhere[x] <= limit]
+            if len(rare) < FEW:  # an item of everyday words: its rarest ones, however frequent
+                ordered.sort(key=lambda x: (elsewhere[x], x))
                 rare = ordered[: max(FEW, len(ordered) // 4)]
             need = max(min(2, len(rare)), math.ceil(RARE_SHARE * len(rare)))
             self.rare[i], self.need[i] = {x: n for n, x in enumerate(rare)}, need
@@ -94,6 +155,29 @@ class Items:
                 v = ((v + u) | (v - u)) & full
         return len(self.words[item]) - v.bit_count()
 
+    def passages(self, item: int, doc: list[str]) -> Iterator[list[str]]:
+        """Windows of WINDOW times the item's size, each beginning with a word of the item, that hold half of it in order."""
+        masks, n = self.masks[item], len(self.words[item])
+        size, half = math.ceil(WINDOW * n), WORDS_SHARE * n
+        spots = [k for k, w in enumerate(doc) if w in masks]
+        to, starts = 0, []
+        for k, spot in enumerate(spots):
+            while to < len(spots) and spots[to] < spot + size:
+                to += 1
+            if to - k >= half:
+                starts.append(spot)
+        at = 0
+        while at < len(starts):  # starts close together are looked at one by one only if all their windows as one hold half
+            end = at
+            while end < len(starts) and starts[end] <= starts[at] + n // 4:
+                end += 1
+            if self.common(item, doc[starts[at] : starts[end - 1] + size]) >= half:
+                for start in starts[at:end]:
+                    window = doc[start : start + size]
+                    if self.common(item, window) >= half:
+                        yield window
+            at = end
+
     def found_in(self, text: str | None) -> list[int]:
         doc = words(text)
         if not doc:
@@ -120,8 +204,8 @@ class Items:
         return result
 
 
-def _verify(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], docs_with: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    block = Items(items, docs_with)
+def _verify(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], docs_with: dict[str, int], leaks_with: dict[tuple[str, int], int]) -> Iterator[pa.RecordBatch]:
+    block = Items(items, docs_with, leaks_with)
     for batch in batches:
         ids, found = [], []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -131,6 +215,9 @@ def _verify(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], doc
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
 
 
+COUNT = "word string, item_id bigint, n bigint"
+
+
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): every document holding an item's passage, once per item.
 
@@ -147,10 +234,18 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         blocks[-1].append((row["item_id"], row["text"]))
     result = None
     for block in blocks:
-        vocabulary = frozenset(w for _, t in block for w in words(t))
-        counted = docs.select("text").mapInArrow(partial(_document_counts, vocabulary=vocabulary), "word string, n bigint")
-        docs_with = {r["word"]: r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
-        part = docs.mapInArrow(partial(_verify, items=block, docs_with=docs_with), "doc_id bigint, item_id bigint")
+        counted = docs.select("text").mapInArrow(partial(_document_counts, items=block), COUNT).groupBy("word", "item_id").agg(F.sum("n").alias("n")).collect()
+        docs_with = {r["word"]: r["n"] for r in counted if r["item_id"] is None}
+        limit = _rare_limit(docs_with)
+        doubtful: dict[int, set[str]] = {}  # frequent words that may be rare but for the item's own leaks
+        for r in counted:
+            if r["item_id"] is not None and docs_with[r["word"]] > limit >= docs_with[r["word"]] - r["n"]:
+                doubtful.setdefault(r["item_id"], set()).add(r["word"])
+        leaks_with = {}
+        if doubtful:
+            leaks = docs.select("text").mapInArrow(partial(_leaks_with, items=block, doubtful=doubtful), COUNT)
+            leaks_with = {(r["word"], r["item_id"]): r["n"] for r in leaks.groupBy("word", "item_id").agg(F.sum("n").alias("n")).collect()}
+        part = docs.mapInArrow(partial(_verify, items=block, docs_with=docs_with, leaks_with=leaks_with), "doc_id bigint, item_id bigint")
         result = part if result is None else result.unionByName(part)
     return result.distinct()
 
