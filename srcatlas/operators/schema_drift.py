@@ -23,10 +23,10 @@ from srcatlas.plans.runtime import checked_broadcast, cut, spread
 PROFILE = 64
 #: Score from which a removed and an added field are one renamed field.
 RENAME_FROM = 0.8
-#: A rename step seen so often, and in this share of the field's disappearances, lends a doubtful pair KNOWN_ADDS; other partners of a
-#: field that has gone OFTEN times lose STRANGE_TAKES. Of the steps and fields the most frequent KNOWN_MOST are kept.
-KNOWN_ADDS, KNOWN_FROM, KNOWN_SHARE, KNOWN_MOST = 0.7, 2, 0.05, 5000
-OFTEN, STRANGE_TAKES = 20, 0.3
+#: A rename step seen in this share of the field's disappearances lends a doubtful pair KNOWN_ADDS, other pairs without a shared name
+#: lose STRANGE_TAKES: shares only, so that a table and several copies of it give the same. The most frequent KNOWN_MOST steps are kept.
+KNOWN_ADDS, KNOWN_SHARE, KNOWN_MOST = 0.7, 0.05, 5000
+STRANGE_TAKES = 0.3
 #: file_seq values per bucket of the two-level search for the file before.
 SEQ_BUCKET = 1024
 #: A file of a hot series is one of many small rows; nothing is ever gathered per series.
@@ -171,12 +171,12 @@ def _numeric(a: dict) -> bool:
     return a["profile"][PROFILE // 2] > 0
 
 
-def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[str, str]] = frozenset(), often: frozenset[str] = frozenset()) -> dict[str, str]:
+def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[str, str]] | None = None) -> dict[str, str]:
     """Which removed field goes on under which added name: best pairs first, one partner each.
 
     A pair must share its parent and what it holds. Beyond that it needs a shared word in the names, the same texts, or the
     same neighbours in the record; a field appended at the end of its object is no evidence of a rename. What is `known` from
-    other series counts too, for fields that are `often` gone also against a pair.
+    all series counts too, for a pair or against it; None is no such knowledge.
     """
     old, new = {x["field"]: x for x in before}, {x["field"]: x for x in after}
     gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
@@ -217,7 +217,7 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
             if shuffled and not placed:
                 placed = 0.35
             texts = content if not _numeric(x) and x["type"] != "boolean" else 0.0
-            scored.append((0.6 * content + named + placed + 0.6 * texts + (KNOWN_ADDS if (a, b) in known else -STRANGE_TAKES if a in often and not named else 0), a, b))
+            scored.append((0.6 * content + named + placed + 0.6 * texts + (0 if known is None else KNOWN_ADDS if (a, b) in known else 0 if named else -STRANGE_TAKES), a, b))
     result: dict[str, str] = {}
     for score, a, b in sorted(scored, key=lambda s: (-s[0], s[1], s[2])):
         if score >= RENAME_FROM and a not in result and b not in result.values():
@@ -225,12 +225,12 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
     return result
 
 
-def _compare(batches: Iterator[pd.DataFrame], known: frozenset[tuple[str, str]] = frozenset(), often: frozenset[str] = frozenset()) -> Iterator[pd.DataFrame]:
+def _compare(batches: Iterator[pd.DataFrame], known: frozenset[tuple[str, str]] | None = None) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for stream, series, seq, log, before, after in zip(pdf["stream"], pdf["series"], pdf["file_seq"], pdf["log_file"], pdf["before"], pdf["fields"]):
             before, after = list(before), list(after)
-            renames = match_renames(before, after, known, often)
+            renames = match_renames(before, after, known)
             old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
             head = (stream, series, seq, log)
             for f in old:
@@ -260,10 +260,9 @@ def schema_changes(records: DataFrame) -> DataFrame:
     total: dict[str, int] = {}
     for x in counts:
         total[x["field"]] = total.get(x["field"], 0) + x["count"]
-    seen = [(x["field"], x["becomes"]) for x in counts if x["becomes"] and x["count"] >= KNOWN_FROM and x["count"] >= KNOWN_SHARE * total[x["field"]]]
+    seen = [(x["field"], x["becomes"]) for x in counts if x["becomes"] and x["count"] >= KNOWN_SHARE * total[x["field"]]]
     known = frozenset(seen) | frozenset((b, a) for a, b in seen)
-    often = frozenset(f for f, n in total.items() if n >= OFTEN)
-    return steps.mapInPandas(partial(_compare, known=known, often=often), CHANGE)
+    return steps.mapInPandas(partial(_compare, known=known), CHANGE)
 
 
 def schema_versions(records: DataFrame) -> DataFrame:
