@@ -11,21 +11,20 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcatlas.plans.runtime import checked_broadcast, cut, spread
+from srcatlas.plans.runtime import checked_broadcast, cut, salted_join, spread
 
 #: Length of a field's content profile: half for the values' magnitudes or hashes, half for their shapes.
 PROFILE = 64
 #: Score from which a removed and an added field are one renamed field.
 RENAME_FROM = 0.8
 #: A rename step seen in this share of the field's disappearances lends a doubtful pair KNOWN_ADDS, other pairs without a shared name
-#: lose STRANGE_TAKES: shares only, so that a table and several copies of it give the same. The most frequent KNOWN_MOST steps are kept.
-KNOWN_ADDS, KNOWN_SHARE, KNOWN_MOST = 0.7, 0.05, 5000
+#: lose STRANGE_TAKES: shares only, so that a table and several copies of it give the same.
+KNOWN_ADDS, KNOWN_SHARE = 0.7, 0.05
 STRANGE_TAKES = 0.3
 #: file_seq values per bucket of the two-level search for the file before.
 SEQ_BUCKET = 1024
@@ -171,6 +170,11 @@ def _numeric(a: dict) -> bool:
     return a["profile"][PROFILE // 2] > 0
 
 
+def _comparable(a: str, b: str, x: dict, y: dict) -> bool:
+    """Whether a field could go on under the other name at all: same parent, same kind of values."""
+    return a.rpartition(".")[0] == b.rpartition(".")[0] and (x["type"] == "array") == (y["type"] == "array") and (x["type"] == "boolean") == (y["type"] == "boolean") and _numeric(x) == _numeric(y)
+
+
 def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[str, str]] | None = None) -> dict[str, str]:
     """Which removed field goes on under which added name: best pairs first, one partner each.
 
@@ -203,10 +207,8 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
     scored = []
     for a in gone:
         for b in come:
-            if a.rpartition(".")[0] != b.rpartition(".")[0]:
-                continue
             x, y = old[a], new[b]
-            if (x["type"] == "array") != (y["type"] == "array") or (x["type"] == "boolean") != (y["type"] == "boolean") or _numeric(x) != _numeric(y):
+            if not _comparable(a, b, x, y):
                 continue
             content = _same_content(x, y)
             shared = _words(a) & _words(b)
@@ -225,12 +227,29 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
     return result
 
 
-def _compare(batches: Iterator[pd.DataFrame], known: frozenset[tuple[str, str]] | None = None) -> Iterator[pd.DataFrame]:
+STEP = "step_id bigint, field string, becomes string, chosen boolean"
+
+
+def _first_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each file the fields that are gone and, without knowledge of other files, what each becomes ('' if nothing), then the further pairs that could be."""
+    for pdf in batches:
+        rows = []
+        for step, before, after in zip(pdf["step_id"], pdf["before"], pdf["fields"]):
+            renames = match_renames(before, after)
+            old, new = {x["field"]: x for x in before}, {x["field"]: x for x in after}
+            come = [f for f in new if f not in old]
+            for f in old.keys() - new.keys():
+                rows.append((step, f, renames.get(f, ""), True))
+                rows += [(step, f, b, False) for b in come if b != renames.get(f) and _comparable(f, b, old[f], new[b])]
+        yield pd.DataFrame(rows, columns=["step_id", "field", "becomes", "chosen"])
+
+
+def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for stream, series, seq, log, before, after in zip(pdf["stream"], pdf["series"], pdf["file_seq"], pdf["log_file"], pdf["before"], pdf["fields"]):
+        for stream, series, seq, log, before, after, known in zip(pdf["stream"], pdf["series"], pdf["file_seq"], pdf["log_file"], pdf["before"], pdf["fields"], pdf["known"]):
             before, after = list(before), list(after)
-            renames = match_renames(before, after, known)
+            renames = match_renames(before, after, frozenset() if known is None else frozenset((x["field"], x["becomes"]) for x in known))
             old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
             head = (stream, series, seq, log)
             for f in old:
@@ -254,15 +273,15 @@ def schema_changes(records: DataFrame) -> DataFrame:
     Lines that are no JSON object, nulls, repeated lines and gaps in file_seq do not matter; a file without any JSON object is
     passed over; rows without series, file_seq or raw are left out. An empty table gives an empty result.
     """
-    steps = cut(file_steps(records).select("stream", "series", "file_seq", "log_file", "before", "fields"))
-    gone = steps.mapInPandas(_compare, CHANGE).where(F.col("change").isin("renamed", "removed"))
-    counts = gone.groupBy("field", "becomes").count().orderBy(F.desc("count"), "field", "becomes").limit(KNOWN_MOST).collect()
-    total: dict[str, int] = {}
-    for x in counts:
-        total[x["field"]] = total.get(x["field"], 0) + x["count"]
-    seen = [(x["field"], x["becomes"]) for x in counts if x["becomes"] and x["count"] >= KNOWN_SHARE * total[x["field"]]]
-    known = frozenset(seen) | frozenset((b, a) for a, b in seen)
-    return steps.mapInPandas(partial(_compare, known=known), CHANGE)
+    steps = cut(file_steps(records).select(F.monotonically_increasing_id().alias("step_id"), "stream", "series", "file_seq", "log_file", "before", "fields"))
+    pairs = cut(steps.select("step_id", "before", "fields").mapInPandas(_first_steps, STEP))  # read three times below; no profiles
+    counts = pairs.where("chosen").groupBy("field", "becomes").agg(F.count(F.lit(1)).alias("seen"))
+    totals = counts.groupBy("field").agg(F.sum("seen").alias("total"))
+    seen = counts.where("becomes != ''").join(totals, "field").where(F.col("seen") >= KNOWN_SHARE * F.col("total")).select("field", "becomes")
+    known = cut(seen.union(seen.select("becomes", "field")).distinct())
+    helped = salted_join(pairs.where("becomes != ''"), known, ["field", "becomes"], "step_id")
+    lists = cut(helped.groupBy("step_id").agg(F.collect_set(F.struct("field", "becomes")).alias("known")))
+    return steps.join(checked_broadcast(lists), "step_id", "left").mapInPandas(_compare, CHANGE)
 
 
 def schema_versions(records: DataFrame) -> DataFrame:
