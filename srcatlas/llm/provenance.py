@@ -47,6 +47,8 @@ COPY_REPOS, COPY_ODDS = 2, 5.0
 
 _CODE = frozenset("py pyw js mjs cjs jsx ts mts cts tsx rs go java c h cc cpp hpp cs rb php kt swift scala css".split())
 _COMMENT = re.compile(r"^\s*(?://+!?|#+|/\*+!?|\*+|<!--|--|;+)\s?(.*?)\s*(?:\*/|-->)?\s*$")
+_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ("=begin", "=end"))
+_INNER = re.compile(r"^\s*\**\s?(.*?)\s*$")
 _TOOL = re.compile(
     r"(?i)^(?:code generated by \S+|this (?:file|code) (?:was|is|has been) (?:auto[- ]?)?(?:matically )?generated\b|auto-?generated\b|@generated\b|<auto-?generated\b|do not (?:edit|modify)[!.]? *(?:re)?generate\b|automatically (?:created|generated|produced) (?:on|by|from)\b"
     r"|automatisch (?:erzeugt|generiert)\b|generated (?:by|from|on) \S+|g[eé]n[eé]r[eé] automatiquement|generado autom[aá]ticamente|machine[- ]generated\b|\S+ v?\d+(?:\.\d+)+ output, \S+ digest\b)"
@@ -66,6 +68,27 @@ _LOCK_NAME = re.compile(r"(?i)(?:^|[-_.])lock\.(?:json|ya?ml|toml)$|-lock\.\w+$|
 _MIN_NAME = re.compile(r"(?i)[.\-]min\.\w+$|(?:^|[.\-_])(?:bundle|chunk|app|vendor|main)[.\-]\S*[0-9a-f]{6,}\.\w+$")
 
 
+def head_comments(lines: list[str]) -> Iterator[str]:
+    """What each line of the leading run of comments says, lines inside block comments included, however long it is."""
+    close = ""
+    for line in lines:
+        if close:
+            said, end, rest = line.partition(close)
+            yield _INNER.match(said).group(1)
+            if end and rest.strip():
+                return
+            close = "" if end else close
+            continue
+        bare = line.strip()
+        start, close = next((b for b in _BLOCKS if bare.startswith(b[0])), ("", ""))
+        m = _COMMENT.match(line)
+        if not m and not close:
+            return
+        yield m.group(1) if m else bare[len(start) :].strip()
+        if close in bare[len(start) :]:
+            close = ""
+
+
 def file_evidence(path: str | None, ext: str | None, text: str | None) -> list[float]:
     """Log potentials of a file's own labels, handwritten being 0."""
     e = list(UNMARKED)
@@ -80,13 +103,10 @@ def file_evidence(path: str | None, ext: str | None, text: str | None) -> list[f
     code = (ext or "").lower() in _CODE
     lines = [x for x in text.split("\n") if x.strip()]
     tool = upstream = own = False
-    for line in lines[:12]:
-        m = _COMMENT.match(line)
-        if not m:
-            break
-        tool |= bool(_TOOL.match(m.group(1)))
-        upstream |= bool(_UPSTREAM.match(m.group(1)))
-        own |= bool(_OWN.search(m.group(1)))
+    for said in head_comments(lines):
+        tool |= bool(_TOOL.match(said))
+        upstream |= bool(_UPSTREAM.match(said))
+        own |= bool(_OWN.search(said))
     if tool:
         e[1] += 14.0
     if upstream and code:
