@@ -13,8 +13,6 @@ from itertools import product
 _META = re.compile(r"'[^']+'|[A-Za-z_]\w*|[|()?*+%]")
 #: The end of a text, no token of any language.
 END = "\x00"
-#: Stacks of one configuration; beyond it the text is taken as too ambiguous to judge.
-STACKS = 5000
 #: Remembered steps; beyond it the tables of steps are emptied.
 REMEMBERED = 400_000
 
@@ -213,8 +211,6 @@ class Recogniser:
                     if reduced not in seen:
                         seen.add(reduced)
                         work.append(reduced)
-                        if len(seen) > STACKS:
-                            raise OverflowError("too ambiguous")
         got = self.steps[config][token] = self._config(frozenset(shifted))
         self.remembered += 1
         return got
