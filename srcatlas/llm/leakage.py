@@ -4,7 +4,7 @@ The shingles are single words, as a leak may have words changed or put in every
 words are ordered by rarity in the corpus, the documents that hold half of the item in order left out, so that an item that leaked
 often keeps its rare words; a document can only hold enough of them if it holds one of a necessary prefix of them. Candidates are
 bounded by how many rare words lie close together, then verified exactly: the longest common subsequence with the item inside a window
-of the item's size must reach half of the item's words.
+around the cluster, an item's size more at both ends, must reach half of the item's words.
 """
 
 from __future__ import annotations
