@@ -8,17 +8,24 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from srcatlas.functions.policy import eligible, looks_binary
 from srcatlas.functions.text import line_count, line_offsets, split_lines, trigram_terms, word_terms
-from srcatlas.plans.runtime import spread
+from srcatlas.plans.runtime import checked_broadcast, cut, spread
+from srcatlas.sources.config import Config
 
+#: New files of one change up to which they are ranked in one window.
+FEW_NEW = 10_000
 #: Raised whenever a saved index must be rebuilt.
-INDEX_VERSION = 1
+INDEX_VERSION = 2
 TABLES = ("files", "words", "trigrams", "symbols", "imports", "edges")
+#: What saved tables are sorted by.
+SORTED_BY = {"files": ("file_id",), "words": ("term", "file_id"), "trigrams": ("term", "file_id"), "symbols": ("path", "ord"), "imports": ("path", "ord"), "edges": ("dst_id", "src_id")}
 
 
 def files_from_text(df: DataFrame, id_col: str, text_col: str, path: Column | None = None) -> DataFrame:
@@ -27,21 +34,35 @@ def files_from_text(df: DataFrame, id_col: str, text_col: str, path: Column | No
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("file_id"), name.alias("path"), F.col(text_col).alias("text"))
 
 
-def files_from_scan(scan: DataFrame) -> DataFrame:
-    """(path, bytes, mtime_ms, content) of a tree scan as files: binary ones dropped, ids the rank of the path.
+def numbered(rows: DataFrame, key: str, id_name: str, start: int = 0) -> DataFrame:
+    """The rows with consecutive ids from start on in the order of key, whatever their number: no task sorts them all.
 
-    The rank is taken over path ranges, so that no task sorts all paths.
+    The rows are put into ranges and sorted there once, written to the checkpoint folder, and only then counted, so that the
+    counts and the rows come from the same ranges however the plan is changed at run time.
     """
+    placed = cut(rows.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per partition: bounded
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select((inside + F.col("_skip") + start).cast("bigint").alias(id_name), *rows.columns)
+
+
+def decoded(scan: DataFrame) -> DataFrame:
+    """(path, bytes, mtime_ms, hash, ext, is_utf8, text) of a tree scan's rows, binary ones dropped."""
     kept = scan.where(~looks_binary(F.col("content")))
     # undecodable bytes become replacement characters; the scan says whether there were any
     lossy = F.make_valid_utf8(F.col("content").cast("string"))
-    ext = F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1))
-    rows = kept.select("path", F.length("content").cast("bigint").alias("bytes"), "mtime_ms", F.sha2("content", 256).alias("hash"), ext.alias("ext"), "is_utf8", lossy.alias("text"))
-    ranged = rows.repartitionByRange("path").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))
-    ranked = ranged.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("path")))
-    return ranked.join(F.broadcast(before), "part").select((F.col("r") + F.col("skip") - 1).cast("bigint").alias("file_id"), *[c for c in rows.columns])
+    return kept.select("path", F.length("content").cast("bigint").alias("bytes"), "mtime_ms", F.sha2("content", 256).alias("hash"), extension(F.col("path")).alias("ext"), "is_utf8", lossy.alias("text"))
+
+
+def files_from_scan(scan: DataFrame) -> DataFrame:
+    """(path, bytes, mtime_ms, content) of a tree scan as files: binary ones dropped, ids the rank of the path."""
+    return numbered(decoded(scan), "path", "file_id")
+
+
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1))
 
 
 def files_table(files: DataFrame) -> DataFrame:
@@ -49,7 +70,7 @@ def files_table(files: DataFrame) -> DataFrame:
     have = set(files.columns)
     made = {
         "bytes": F.octet_length("text").cast("bigint"), "lines": line_count(F.col("text")), "line_offsets": line_offsets(F.col("text")), "hash": F.sha2("text", 256),
-        "ext": F.lower(F.regexp_extract("path", r"[^/]\.([^./]+)$", 1)), "is_utf8": F.lit(True), "mtime_ms": F.lit(None).cast("bigint"),
+        "ext": extension(F.col("path")), "is_utf8": F.lit(True), "mtime_ms": F.lit(None).cast("bigint"),
     }
     return files.select("file_id", "path", *[(F.col(c) if c in have else e).alias(c) for c, e in made.items()], "text")
 
@@ -95,23 +116,19 @@ def build(files: DataFrame) -> dict[str, DataFrame]:
 
 
 def status(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row of counts, each exact."""
-    counts = [
-        tables["files"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("files").alias("k"), "n"),
-        *[tables[t].agg(F.countDistinct("term").alias("n")).select(F.lit(t).alias("k"), "n") for t in ("words", "trigrams") if t in tables],
-    ]
-    if "symbols" in tables:
-        counts.append(tables["symbols"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("symbols").alias("k"), "n"))
-        counts.append(tables["symbols"].agg(F.countDistinct("name_lc").alias("n")).select(F.lit("symbol_names").alias("k"), "n"))
-    if "imports" in tables:
-        counts.append(tables["imports"].agg(F.countDistinct("file_id").alias("n")).select(F.lit("deps_files").alias("k"), "n"))
-    if "edges" in tables:
-        counts.append(tables["edges"].agg(F.countDistinct("src_id").alias("n")).select(F.lit("deps_forward").alias("k"), "n"))
-        counts.append(tables["edges"].agg(F.countDistinct("dst_id").alias("n")).select(F.lit("deps_reverse").alias("k"), "n"))
-    rows = counts[0]
-    for c in counts[1:]:
-        rows = rows.unionByName(c)
-    names = ["files", "words", "trigrams", "symbols", "symbol_names", "deps_files", "deps_forward", "deps_reverse"]
+    """One row of counts, each exact: one aggregation per table."""
+    wanted = {
+        "files": {"files": F.count(F.lit(1))}, "words": {"words": F.countDistinct("term")}, "trigrams": {"trigrams": F.countDistinct("term")},
+        "symbols": {"symbols": F.count(F.lit(1)), "symbol_names": F.countDistinct("name_lc")}, "imports": {"deps_files": F.countDistinct("file_id")},
+        "edges": {"deps_forward": F.countDistinct("src_id"), "deps_reverse": F.countDistinct("dst_id")},
+    }
+    rows, names = None, []
+    for table, counts in wanted.items():
+        names += counts
+        if table in tables:
+            one = tables[table].agg(*[c.alias(n) for n, c in counts.items()])
+            one = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).alias("n")) for n in counts])).alias("c")).select("c.k", "c.n")
+            rows = one if rows is None else rows.unionByName(one)
     return rows.groupBy().pivot("k", names).agg(F.first("n"))
 
 
@@ -121,16 +138,40 @@ def tree(files: DataFrame, limit: int | None = None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
+def format_tree(files: DataFrame) -> DataFrame:
+    """`path<TAB>n lines<TAB>n bytes` of each file."""
+    return files.select(F.concat(F.col("path"), F.lit("\t"), F.col("lines").cast("string"), F.lit(" lines\t"), F.col("bytes").cast("string"), F.lit(" bytes")).alias("value"))
+
+
+def format_status(counts: DataFrame, root: str | None = None) -> DataFrame:
+    """`name: value` of the root, if there is one, and of each count."""
+    names = {"files": "files", "words": "words", "trigrams": "trigrams", "symbols": "symbols", "symbol_names": "symbol names", "deps_files": "deps files"}
+    lines = [F.concat(F.lit(f"{label}: "), F.col(c).cast("string")) for c, label in names.items()]
+    if root is not None:
+        lines.insert(0, F.lit(f"root: {root}"))
+    return counts.select(F.explode(F.array_compact(F.array(*lines))).alias("value"))
+
+
 # saving and loading -------------------------------------------------------------------------------------------------------------
 
 
-def save(tables: dict[str, DataFrame], folder: str, config: dict | None = None) -> dict:
-    """Write every table into a new version folder, then point the manifest at it: readers see the old version or the new one whole."""
+def save(tables: dict[str, DataFrame], folder: str, config: dict | None = None, root: str | None = None) -> dict:
+    """Write every table into a new version folder, then point the manifest at it: readers see the old version or the new one whole.
+
+    Tables that are looked up by a key are put into ranges of it and sorted, so that a lookup skips all row groups but a few.
+    """
     spark = next(iter(tables.values())).sparkSession
-    version = f"v{int(time.time() * 1000)}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
-    manifest = {"version": INDEX_VERSION, "data": version, "tables": sorted(tables), "config": config or {}, "built_ms": int(time.time() * 1000)}
+    version = f"v{time.time_ns() // 1_000_000}"
+
+    def write(name: str) -> None:
+        df = tables[name]
+        keys = [k for k in SORTED_BY.get(name, ()) if k in df.columns]
+        placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+        placed.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:  # a job each: small tables do not wait for large ones
+        list(pool.map(inheritable_thread_target(spark)(write), tables))
+    manifest = {"version": INDEX_VERSION, "data": version, "tables": sorted(tables), "config": config or {}, "root": root, "built_ms": int(time.time() * 1000)}
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     out = fs.create(path, True)
@@ -139,6 +180,15 @@ def save(tables: dict[str, DataFrame], folder: str, config: dict | None = None)
     return manifest
 
 
+def drop_versions(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Remove all but the newest versions of a saved index; a reader of the one before may still be at work."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(x.getPath().getName() for x in fs.listStatus(path) if x.getPath().getName()[:1] == "v")
+    for name in found[:-keep]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+
+
 def read_manifest(spark: SparkSession, folder: str) -> dict | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -150,10 +200,10 @@ def read_manifest(spark: SparkSession, folder: str) -> dict | None:
         return None
 
 
-def load(spark: SparkSession, folder: str, config: dict | None = None) -> dict[str, DataFrame] | None:
-    """The saved tables, or None if there is no manifest, or one of another version or configuration: the caller rebuilds."""
+def load(spark: SparkSession, folder: str, config: dict | None = None, root: str | None = None) -> dict[str, DataFrame] | None:
+    """The saved tables, or None if there is no manifest, or one of another version, configuration or root: the caller rebuilds."""
     manifest = read_manifest(spark, folder)
-    if not manifest or manifest.get("version") != INDEX_VERSION or config is not None and manifest.get("config") != config:
+    if not manifest or manifest.get("version") != INDEX_VERSION or config is not None and manifest.get("config") != config or root is not None and manifest.get("root") != root:
         return None
     return {t: spark.read.parquet(f"{folder}/{manifest['data']}/{t}") for t in manifest["tables"]}
 
@@ -169,36 +219,70 @@ def snapshot_info(spark: SparkSession, folder: str) -> DataFrame:
 # incremental maintenance ----------------------------------------------------------------------------------------------------------
 
 
-def upsert_files(base: DataFrame, changed: DataFrame, max_bytes: int | None = None) -> DataFrame:
+def upsert_files(base: DataFrame, changed: DataFrame, config: Config | None = Config()) -> DataFrame:
     """Replace files by path: a changed file keeps its id, a new one gets the ids after the greatest (1 on an empty table).
 
-    Changed files that are not eligible are removed. `changed` has (path, text).
+    `changed` has (path, text), and if need be the other columns of a files table; what of them the base has is made from the text
+    where it is absent. Changed files that are not eligible by the configuration are removed; without one all are taken. Of rows that repeat a path one
+    holds; null paths are left out, a null text removes the file.
     """
-    wanted = changed.where(eligible(F.col("path"), F.octet_length("text"), *([max_bytes] if max_bytes else []))) if max_bytes else changed
-    known = base.select("path", F.col("file_id").alias("old_id"))
-    matched = wanted.join(known, "path", "left")
-    top = base.agg(F.coalesce(F.max("file_id"), F.lit(0))).head()[0]
-    kept = matched.where(F.col("old_id").isNotNull()).select(F.col("old_id").alias("file_id"), "path", "text")
-    new = matched.where(F.col("old_id").isNull())
-    # the new files of one batch are few (see streaming.watch); ranking them in one window is bounded by the batch
-    fresh = new.select((F.row_number().over(Window.orderBy("path")) + F.lit(top)).cast("bigint").alias("file_id"), "path", "text")
-    return base.join(changed.select("path"), "path", "left_anti").select("file_id", "path", "text").unionByName(kept).unionByName(fresh)
+    rows = _identified(base, base.select("path", "file_id"), changed, config)
+    return base.join(checked_broadcast(changed.select("path").distinct()), "path", "left_anti").select(*base.columns).unionByName(rows)
+
+
+def _identified(base: DataFrame, known: DataFrame, changed: DataFrame, config: Config | None) -> DataFrame:
+    """The eligible ones of changed files with their ids, those of `known` (path, file_id) or new ones, and the columns of base."""
+    wanted = changed.where(F.col("path").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["path"])
+    if config is not None:
+        wanted = wanted.where(eligible(F.col("path"), F.octet_length("text"), config.max_file_size, config.allow_sensitive, config.include_hidden))
+    top = base.agg(F.max("file_id")).head()[0] or 0
+    matched = wanted.join(known.select("path", F.col("file_id").alias("_old")), "path", "left")
+    kept, new = matched.where(F.col("_old").isNotNull()).withColumn("file_id", F.col("_old")), matched.where(F.col("_old").isNull())
+    few = new.limit(FEW_NEW + 1).count() <= FEW_NEW
+    fresh = new.withColumn("file_id", (F.row_number().over(Window.orderBy("path")) + top).cast("bigint")) if few else numbered(new, "path", "file_id", top + 1)
+    rows = kept.select("file_id", *wanted.columns).unionByName(fresh.select("file_id", *wanted.columns))
+    rows = files_table(rows) if {"bytes", "hash"} <= set(base.columns) else rows
+    return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in base.dtypes])
 
 
 def merge_postings(base: DataFrame, changed_ids: DataFrame, new: DataFrame) -> DataFrame:
     """A per-file table with the rows of changed files replaced."""
-    return base.join(changed_ids.select("file_id").distinct(), "file_id", "left_anti").select(*base.columns).unionByName(new)
+    return _replaced(base, checked_broadcast(changed_ids.select("file_id").distinct()), new)
 
 
-def remove_files(tables: dict[str, DataFrame], removed_ids: DataFrame) -> dict[str, DataFrame]:
-    """All per-file tables without the removed files; imports that pointed at them become unresolved, edges are rebuilt."""
-    from srcatlas.operators.graph import edges
-
-    gone = removed_ids.select("file_id").distinct()
-    result = {name: df.join(gone, "file_id", "left_anti") for name, df in tables.items() if name != "edges"}
-    if "imports" in result:
-        hit = gone.select(F.col("file_id").alias("resolved_file_id"), F.lit(True).alias("hit"))
-        joined = result["imports"].join(hit, "resolved_file_id", "left")
-        result["imports"] = joined.select(*[F.when(F.col("hit"), None).otherwise(F.col(c)).alias(c) if c in ("resolved_path", "resolved_file_id") else F.col(c) for c in tables["imports"].columns])
+def _replaced(base: DataFrame, gone: DataFrame, new: DataFrame) -> DataFrame:
+    return base.join(gone, "file_id", "left_anti").select(*base.columns).unionByName(new.select(*base.columns))
+
+
+def apply_changes(tables: dict[str, DataFrame], changed: DataFrame, removed: DataFrame, config: Config | None = Config()) -> dict[str, DataFrame]:
+    """All tables after `changed` files (path, text, ...) were created or modified and `removed` ones (path) have gone.
+
+    Equal to an index built anew but for the ids of new files. Files that are no longer eligible go like removed ones. Imports of
+    changed files are extracted anew; of the others those are resolved again that could mean a changed or removed path.
+    """
+    from srcatlas.operators.graph import edges, resolve_again
+    from srcatlas.operators.imports import extract_imports
+    from srcatlas.operators.symbols import extract_symbols
+
+    old, changed = tables["files"], changed.drop("file_id")
+    touched = checked_broadcast(cut(changed.select("path").union(removed.select("path")).where(F.col("path").isNotNull()).distinct()))
+    known = cut(old.join(touched, "path", "left_semi").select("path", "file_id"))
+    now = cut(_identified(old, known, changed, config))
+    files = old.join(touched, "path", "left_anti").select(*old.columns).unionByName(now)
+    gone = checked_broadcast(known.select("file_id").union(now.select("file_id")).distinct())
+    result = {"files": files}
+    for name, made in (("words", word_postings), ("trigrams", trigram_postings), ("symbols", extract_symbols)):
+        if name in tables:
+            result[name] = _replaced(tables[name], gone, made(now))
+    if "imports" in tables:
+        fresh = extract_imports(now)
+        merged = _replaced(tables["imports"], gone, fresh.select(*[F.col(c) if c in fresh.columns else F.lit(None).cast(t).alias(c) for c, t in tables["imports"].dtypes]))
+        result["imports"] = resolve_again(merged, files, touched, now)
         result["edges"] = edges(result["imports"])
-    return result
+    return result | {name: df for name, df in tables.items() if name not in result}
+
+
+def remove_files(tables: dict[str, DataFrame], removed_ids: DataFrame) -> dict[str, DataFrame]:
+    """All tables without the removed files; imports that pointed at them mean the next candidate that exists, or none."""
+    paths = tables["files"].join(checked_broadcast(removed_ids.select("file_id").distinct()), "file_id", "left_semi").select("path")
+    return apply_changes(tables, tables["files"].limit(0), paths)

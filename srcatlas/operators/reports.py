@@ -66,12 +66,14 @@ def _any(t: Column, low: Column, starts: tuple = (), holds: tuple = (), holds_lo
 
 
 def is_test_path(path: Column) -> Column:
-    """In a folder tests, test or __tests__ below another one, or named like a test."""
+    """In a folder tests, test or __tests__ below another one, or named like a test, in any case of letters and with either separator."""
     name = ascii_lower(F.regexp_extract(path, r"([^/]*)$", 1))
     suffixes = ("_test.rs", "_test.go", "_test.py", ".test.js", ".test.ts", ".test.tsx", ".spec.js", ".spec.ts", ".spec.tsx", "test.java", "tests.cs")
-    return F.rlike(path, F.lit("/(?:tests|test|__tests__)/")) | name.startswith("test_") | F.rlike(name, F.lit("(?:" + "|".join(map(re.escape, suffixes)) + ")$"))
+    folders = ascii_lower(F.translate(path, "\\", "/"))
+    return F.rlike(folders, F.lit("/(?:tests|test|__tests__)/")) | name.startswith("test_") | F.rlike(name, F.lit("(?:" + "|".join(map(re.escape, suffixes)) + ")$"))
 
 
+# What shows a test framework, a fixture, a mock or an assertion, here and in `test_lines`.
 def frameworks_of(ext: Column, t: Column, low: Column) -> Column:
     """Labels of the test frameworks that a line shows, by the file's language; a line may show several."""
     js = ext.isin("js", "mjs", "cjs", "ts", "mts", "cts", "tsx", "jsx")

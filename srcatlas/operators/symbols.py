@@ -492,3 +492,8 @@ def find_symbol(symbols: DataFrame, name: str, limit: int | None = 20) -> DataFr
     # one row at most decides, so the anti-join is a broadcast of a single row
     rows = exact.unionByName(close.withColumn("x", F.lit(1)).join(F.broadcast(any_exact), "x", "left_anti").drop("x")).orderBy("file_id", "ord")
     return rows if limit is None else rows.limit(limit)
+
+
+def format_symbols(symbols: DataFrame) -> DataFrame:
+    """`path:line:column kind name` of each symbol."""
+    return symbols.select(F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("column").cast("string"), F.lit(" "), F.col("kind"), F.lit(" "), F.col("name")).alias("value"))

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from srcatlas.functions.policy import resolve_in_root, sensitive_name
 from srcatlas.operators import changes as change_ops
+from srcatlas.operators import edit as edit_ops
 from srcatlas.operators import graph, index, reads, reports, usage
 from srcatlas.operators import search as search_ops
 from srcatlas.operators import symbols as symbol_ops
+from srcatlas.plans.runtime import cut
 from srcatlas.sources.config import load_config
-from srcatlas.sources.tree import scan
+from srcatlas.sources.tree import SCHEMA, is_source_file, read_file, scan, signatures
+from srcatlas.streaming.watch import plan_of
 
 BUNDLE_LIMIT, CACHED_ROOTS = 10, 16
 READ_ONLY = frozenset("tree status search word read read_compact read_aggressive outline symbol deps rdeps smart tests_aware tests_aware_totals".split())
@@ -20,8 +26,9 @@ READ_ONLY = frozenset("tree status search word read read_compact read_aggressive
 class Project:
     """Index tables of a collection, built from a files table, a folder or a saved index."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], persisted: bool = False) -> None:
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], persisted: bool = False, root: str | None = None, folder: str | None = None) -> None:
         self.spark, self.tables, self.persisted = spark, tables, persisted
+        self.root, self.folder = os.path.realpath(root) if root else None, folder
 
     @classmethod
     def from_files(cls, files: DataFrame) -> Project:
@@ -29,22 +36,84 @@ class Project:
 
     @classmethod
     def from_root(cls, spark: SparkSession, root: str) -> Project:
+        """All eligible files of a tree, indexed; what was listed is kept, so that later changes are seen."""
+        listed = cut(signatures(spark, root))
         files = index.files_from_scan(scan(spark, root))
-        return cls(spark, index.build(files))
+        return cls(spark, index.build(files) | {"signatures": listed}, root=root)
 
     @classmethod
     def load_or_build(cls, spark: SparkSession, root: str, folder: str) -> Project:
-        """The saved index if version and configuration match, else a new one, saved."""
+        """The saved index if version, configuration and root match, brought up to date with the tree, else a new one, saved."""
+        root = os.path.realpath(root)
         config = load_config(root).as_dict()
-        tables = index.load(spark, folder, config)
+        tables = index.load(spark, folder, config, root)
         if tables is None:
-            index.save(cls.from_root(spark, root).tables, folder, config)
-            tables = index.load(spark, folder, config)
-        return cls(spark, tables, persisted=True)
+            index.save(cls.from_root(spark, root).tables, folder, config, root)
+            return cls(spark, index.load(spark, folder, config, root), persisted=True, root=root, folder=folder)
+        project = cls(spark, tables, persisted=True, root=root, folder=folder)
+        project.refresh()
+        return project
 
     def save(self, folder: str, config: dict | None = None) -> Project:
-        index.save(self.tables, folder, config)
-        return Project(self.spark, index.load(self.spark, folder), persisted=True)
+        index.save(self.tables, folder, config, self.root)
+        return Project(self.spark, index.load(self.spark, folder), persisted=True, root=self.root, folder=folder)
+
+    # keeping up with the tree
+
+    def rebuild(self) -> None:
+        """Index the tree anew."""
+        self._hold(Project.from_root(self.spark, self.root).tables)
+
+    def update(self, paths: list[str]) -> None:
+        """Read some paths again: changed ones are indexed anew, absent and no longer eligible ones removed. Few paths: they go through the driver."""
+        config = load_config(self.root)
+        found = [row for p in paths if is_source_file(self.root, p, config) and (row := read_file(self.root, p)) is not None]
+        contents = self.spark.createDataFrame(found, SCHEMA)
+        named = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        sizes = contents.select("path", "bytes", "mtime_ms", F.lit(False).alias("rule"))
+        old = self.tables.get("signatures", sizes.limit(0))
+        changed = index.decoded(contents)
+        removed = named.join(changed, "path", "left_anti")
+        tables = index.apply_changes(self.tables, changed, removed, config)
+        self._hold(tables | {"signatures": old.join(F.broadcast(named), "path", "left_anti").unionByName(sizes)})
+
+    def _hold(self, tables: dict[str, DataFrame]) -> None:
+        if self.folder:
+            index.save(tables, self.folder, load_config(self.root).as_dict(), self.root)
+            index.drop_versions(self.spark, self.folder)
+            tables = index.load(self.spark, self.folder)
+        self.tables = tables
+
+    def refresh(self) -> str:
+        """Compare the tree with what was listed before, and update or rebuild; says which of none, targeted and rebuild it was."""
+        if not self.root or "signatures" not in self.tables:
+            return "none"
+        found = change_ops.signature_diff(self.tables["signatures"], signatures(self.spark, self.root))
+        plan, changes = plan_of(found.select("path", "kind", F.lit(0).alias("at_ms")))
+        if plan == "rebuild":
+            self.rebuild()
+        elif plan == "targeted":
+            self.update([p for p, _ in changes])
+        return plan
+
+    def edit(self, path: str, op: str, start: int, expected_hash: str, end: int | None = None, content: str = "") -> dict:
+        """A guarded edit of one file of the root, which is then indexed anew and saved."""
+        done = edit_ops.edit_file(self.root, path, op, start, expected_hash, end, content)
+        self.update([path])
+        return done
+
+    def analyze(self, path: str) -> Project:
+        """A project that also holds one file asked for by name, eligible or not, sensitive ones excepted; nothing is saved."""
+        config = load_config(self.root)
+        resolve_in_root(self.root, path)
+        if not config.allow_sensitive and sensitive_name(path):
+            raise PermissionError(f"sensitive path: {path!r}")
+        row = read_file(self.root, path)
+        if row is None:
+            raise FileNotFoundError(path)
+        contents = index.decoded(self.spark.createDataFrame([row], SCHEMA))
+        tables = index.apply_changes(self.tables, contents, contents.select("path").limit(0), None)  # asked for by name: no rule of eligibility holds
+        return Project(self.spark, tables, root=None)
 
     def tree(self, limit: int | None = None) -> DataFrame:
         return index.tree(self.tables["files"], limit)
@@ -52,8 +121,13 @@ class Project:
     def status(self) -> DataFrame:
         return index.status(self.tables)
 
-    def search(self, query: str, limit: int | None = 20) -> DataFrame:
-        """Through the trigram index if it is on disk; scanning is cheaper than building it for one query."""
+    def search(self, query: str, limit: int | None = 20, fresh: bool = True) -> DataFrame:
+        """Through the trigram index if it is on disk; scanning is cheaper than building it for one query.
+
+        A project of a root looks for changes of the tree first, unless it is told not to.
+        """
+        if fresh:
+            self.refresh()
         return search_ops.search(self.tables["files"], query, limit, self.tables["trigrams"] if self.persisted else None)
 
     def word(self, term: str, limit: int | None = 20) -> DataFrame:

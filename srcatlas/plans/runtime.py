@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast once they have been counted.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a side may be broadcast once it has been measured.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,14 +51,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df only if a count (never more than limit + 1 rows) shows it to be small; else leave the join to Catalyst."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _width(df: DataFrame) -> Column:
+    """Bytes a row takes, the lengths of its texts and arrays counted, 8 for anything else."""
+    width = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        part = F.octet_length(F.col(f"`{f.name}`")) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))) if kind in ("array", "struct", "map") else F.lit(8)
+        width = width + F.coalesce(part, F.lit(0)) + 8
+    return width
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has at most so many rows and bytes; no more than rows + 1 of its rows are measured."""
+    n, total = df.limit(rows + 1).select(_width(df).alias("w")).agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).head()
+    return n <= rows and total <= size
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast df only if it was measured to be small in rows and bytes; else leave the join to Catalyst."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], salt_by: str, how: str = "inner", salts: int = 16) -> DataFrame:
-    """Join rows, of which one key may hold a large part, with at most one row per key: broadcast if counted small, else salted."""
-    if unique.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Join rows, of which one key may hold a large part, with at most one row per key: broadcast if measured small, else salted."""
+    if fits(unique):
         return rows.join(F.broadcast(unique), keys, how)
     copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(copies, [*keys, "_salt"], how).drop("_salt")

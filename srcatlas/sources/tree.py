@@ -1,24 +1,37 @@
-"""The tree scan as a Python data source: `spark.read.format("srcatlas_tree").option("root", ...)`.
+"""The tree scan: a listing as a Python data source (`spark.read.format("srcatlas_tree").option("root", ...)`), contents read beside it.
 
-The folders below the root are the partitions: the driver only lists folders, executors stat and read the files. The root must be
-on storage that all executors see. Links are not followed; ignore rules, hidden, generated and sensitive names and the size cap apply.
+The driver opens folders, broadest first, only until there are enough of them to deal out; executors walk what lies below. The listing
+(paths, sizes, times) is then dealt out anew, so that a folder of any size is read by all tasks alike. The root must be on storage
+that all executors see. Links are not followed; ignore rules, hidden, generated and sensitive names and the size cap apply.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
+from collections import deque
 from collections.abc import Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from srcatlas.functions.policy import generated_name, hidden_name, sensitive_name
-from srcatlas.sources.config import Config, load_config
+from srcatlas.plans.runtime import shuffle_partitions
+from srcatlas.sources.config import CONFIG_NAME, Config, load_config
 from srcatlas.sources.ignore import Stack
 
 SCHEMA = "path string, bytes bigint, mtime_ms bigint, is_utf8 boolean, content binary"
-SIGNATURE = "path string, bytes bigint, mtime_ms bigint"
+SIGNATURE = "path string, bytes bigint, mtime_ms bigint, rule boolean"
+#: Files whose change may make other files eligible or not.
+RULE_FILES = (".gitignore", ".ignore", CONFIG_NAME)
+#: Folders that the driver opens before the rest is left to the executors.
+OPENED = 1024
+#: Bytes of contents that one batch of a scan holds before it is handed on.
+BATCH_BYTES = 16 << 20
 
 
 def _config(options: dict, root: str) -> Config:
@@ -31,16 +44,29 @@ def _passes(relative: str, config: Config) -> bool:
     return not generated_name(relative) and (config.include_hidden or not hidden_name(relative)) and (config.allow_sensitive or not sensitive_name(relative))
 
 
-def folders_of(root: str, config: Config) -> Iterator[str]:
-    """Folders to scan, relative to the root, '' for itself; ignored ones are not entered."""
-    def walk(folder: str, relative: str, rules: Stack) -> Iterator[str]:
-        yield relative
-        for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            inner = f"{relative}/{entry.name}".lstrip("/")
-            if entry.is_dir(follow_symlinks=False) and _passes(inner, config) and not rules.ignored(entry.path, True):
-                yield from walk(entry.path, inner, rules.below(entry.path))
+def _entries(folder: str) -> list[os.DirEntry]:
+    """What a folder holds, in order of names; nothing if it has gone meanwhile."""
+    try:
+        return sorted(os.scandir(folder), key=lambda e: e.name)
+    except FileNotFoundError:
+        return []
+
+
+def inner_folders(root: str, relative: str, config: Config, rules: Stack) -> Iterator[tuple[str, Stack]]:
+    """The folders in a folder that a scan enters, each with the rules that hold in it."""
+    for entry in _entries(os.path.join(root, relative)):
+        inner = f"{relative}/{entry.name}".lstrip("/")
+        if entry.is_dir(follow_symlinks=False) and _passes(inner, config) and not rules.ignored(entry.path, True):
+            yield inner, rules.below(entry.path)
 
-    yield from walk(root, "", Stack.for_root(root))
+
+def folders_of(root: str, config: Config, start: str = "") -> Iterator[tuple[str, Stack]]:
+    """Folders to scan from one on, relative to the root ('' for itself), with their rules; ignored ones are not entered."""
+    todo = [(start, rules_at(root, start))]
+    while todo:
+        relative, rules = todo.pop()
+        yield relative, rules
+        todo += reversed(list(inner_folders(root, relative, config, rules)))
 
 
 def rules_at(root: str, relative: str) -> Stack:
@@ -73,90 +99,112 @@ def is_source_file(root: str, relative: str, config: Config | None = None) -> bo
         return True
 
 
-class _Folders(InputPartition):
-    def __init__(self, folders: list[str]) -> None:
-        super().__init__(0)
-        self.folders = folders
-
-
-def files_in(root: str, relative: str, config: Config) -> Iterator[tuple[str, os.DirEntry]]:
-    folder, rules = os.path.join(root, relative), rules_at(root, relative)
-    for entry in sorted(os.scandir(folder), key=lambda e: e.name):
+def files_in(root: str, relative: str, config: Config, rules: Stack) -> Iterator[tuple[str, int, int, bool]]:
+    """(path, bytes, mtime_ms, rule) of a folder's eligible files and of its rule files, eligible or not (rule true)."""
+    for entry in _entries(os.path.join(root, relative)):
         inner = f"{relative}/{entry.name}".lstrip("/")
-        if entry.is_symlink() or not entry.is_file(follow_symlinks=False) or not _passes(inner, config) or rules.ignored(entry.path, False):
+        if entry.is_symlink() or not entry.is_file(follow_symlinks=False):
             continue
+        rule = entry.name in RULE_FILES
         try:
-            if entry.stat(follow_symlinks=False).st_size > config.max_file_size:
-                continue
+            stat = entry.stat(follow_symlinks=False)
         except OSError:
-            pass
-        yield inner, entry
+            continue
+        source = _passes(inner, config) and stat.st_size <= config.max_file_size and not rules.ignored(entry.path, False)
+        if source or rule:
+            yield inner, stat.st_size, stat.st_mtime_ns // 1_000_000, not source
+
+
+class _Folders(InputPartition):
+    def __init__(self, folders: list[tuple[str, bool]]) -> None:
+        super().__init__(0)
+        self.folders = folders
 
 
 class TreeReader(DataSourceReader):
+    """The listing. A partition holds opened folders, of which only the files count, and unopened ones, which it walks."""
+
     def __init__(self, options: dict) -> None:
         self.root = os.path.realpath(options["root"])
         if not os.path.isdir(self.root):
             raise ValueError(f"no folder: {self.root}")
         self.config = _config(options, self.root)
         self.per_task = int(options.get("folders_per_task", 64))
+        self.opened = int(options.get("opened", OPENED))
 
     def partitions(self) -> list[InputPartition]:
-        folders = list(folders_of(self.root, self.config))
-        return [_Folders(folders[i : i + self.per_task]) for i in range(0, len(folders), self.per_task)] or [_Folders([])]
+        opened, todo = [], deque([("", rules_at(self.root, ""))])
+        while todo and len(opened) < self.opened:
+            relative, rules = todo.popleft()
+            opened.append((relative, False))
+            todo += inner_folders(self.root, relative, self.config, rules)
+        dealt = [_Folders(opened[i : i + self.per_task]) for i in range(0, len(opened), self.per_task)]
+        return dealt + [_Folders([(relative, True)]) for relative, _ in todo]
 
     def read(self, partition: _Folders) -> Iterator[tuple]:
-        for folder in partition.folders:
-            for relative, entry in files_in(self.root, folder, self.config):
-                try:
-                    with open(entry.path, "rb") as f:
-                        content = f.read()
-                    mtime = entry.stat().st_mtime_ns // 1_000_000
-                except OSError:
-                    continue
-                try:
-                    content.decode("utf-8")
-                    valid = True
-                except UnicodeDecodeError:
-                    valid = False
-                yield relative, len(content), mtime, valid, content
+        for start, below in partition.folders:
+            walk = folders_of(self.root, self.config, start) if below else [(start, rules_at(self.root, start))]
+            for folder, rules in walk:
+                yield from files_in(self.root, folder, self.config, rules)
 
 
 class SignatureStream(SimpleDataSourceStreamReader):
-    """Polls a tree: each batch holds the changes (path, kind) since the one before; the offset carries a count, the state stays here."""
+    """Polls a tree: each batch holds the changes (path, kind) since the one before.
+
+    The offset is the version of the signatures, which lie in the folder `state` as one file per version: a restarted stream goes on
+    where it stopped, a batch read again is the same, and versions before the committed one are removed. For trees that one
+    machine can list; `streaming.watch` lists by tasks.
+    """
 
     def __init__(self, options: dict) -> None:
         self.root = os.path.realpath(options["root"])
         self.config = _config(options, self.root)
-        self.seen: dict[str, tuple[int, int]] = {}
-        self.log: list[tuple[str, str, int]] = []
+        if "state" not in options:
+            raise ValueError("the option `state` names a folder for the stream's signatures")
+        self.state = str(options["state"]).removeprefix("file://").removeprefix("file:")
 
     def initialOffset(self) -> dict:
-        return {"n": 0}
-
-    def signatures(self) -> dict[str, tuple[int, int]]:
-        found = {}
-        for folder in folders_of(self.root, self.config):
-            for relative, entry in files_in(self.root, folder, self.config):
-                try:
-                    s = entry.stat()
-                    found[relative] = (s.st_size, s.st_mtime_ns // 1_000_000)
-                except OSError:
-                    pass
-        return found
+        return {"version": 0}
+
+    def _file(self, version: int) -> str:
+        return os.path.join(self.state, f"{version}.json")
+
+    def _held(self, version: int) -> dict:
+        if not version:
+            return {"at": 0, "files": {}}
+        with open(self._file(version), encoding="utf-8") as f:
+            return json.load(f)
+
+    def _changes(self, before: dict, now: dict) -> list[tuple[str, str, int]]:
+        a, b = before["files"], now["files"]
+        kinds = {p: "create" if p not in a else "remove" if p not in b else "modify" for p in a.keys() | b.keys() if a.get(p) != b.get(p)}
+        return [(p, kinds[p], now["at"]) for p in sorted(kinds)]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        now = self.signatures()
-        at = int(time.time() * 1000)
-        for path in sorted(self.seen.keys() | now.keys()):
-            kind = "create" if path not in self.seen else "remove" if path not in now else "modify" if self.seen[path] != now[path] else None
-            if kind:
-                self.log.append((path, kind, at))
-        self.seen = now
-        return iter(self.log[start["n"] :]), {"n": len(self.log)}
+        before, version = self._held(start["version"]), start["version"] + 1
+        files = {p: [n, t] for folder, rules in folders_of(self.root, self.config) for p, n, t, _ in files_in(self.root, folder, self.config, rules)}
+        now = {"at": int(time.time() * 1000), "files": files}
+        found = self._changes(before, now)
+        if not found:
+            return iter([]), start
+        os.makedirs(self.state, exist_ok=True)
+        with open(self._file(version) + ".tmp", "w", encoding="utf-8") as f:
+            json.dump(now, f)
+        os.replace(self._file(version) + ".tmp", self._file(version))
+        return iter(found), {"version": version}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter(self.log[start["n"] : end["n"]])
+        before, found = self._held(start["version"]), []
+        for version in range(start["version"] + 1, end["version"] + 1):
+            now = self._held(version)
+            found += self._changes(before, now)
+            before = now
+        return iter(found)
+
+    def commit(self, end: dict) -> None:
+        for name in os.listdir(self.state) if os.path.isdir(self.state) else []:
+            if name.removesuffix(".json").isdigit() and int(name.removesuffix(".json")) < end["version"]:
+                os.unlink(os.path.join(self.state, name))
 
 
 class TreeSource(DataSource):
@@ -165,7 +213,7 @@ class TreeSource(DataSource):
         return "srcatlas_tree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SIGNATURE
 
     def reader(self, schema: object) -> TreeReader:
         return TreeReader(self.options)
@@ -188,8 +236,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ChangeSource)
 
 
-def scan(spark: SparkSession, root: str, **options: object) -> DataFrame:
-    """(path, bytes, mtime_ms, is_utf8, content) of all eligible files of a tree."""
+def signatures(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """(path, bytes, mtime_ms, rule) of all eligible files of a tree, and of its rule files (rule true where not eligible)."""
     register(spark)
     reader = spark.read.format("srcatlas_tree").option("root", root)
     for k, v in options.items():
@@ -197,3 +245,46 @@ def scan(spark: SparkSession, root: str, **options: object) -> DataFrame:
     return reader.load()
 
 
+def read_file(root: str, relative: str) -> tuple | None:
+    """(path, bytes, mtime_ms, is_utf8, content) of one file, None if it has gone."""
+    full = os.path.join(root, *relative.split("/"))
+    try:
+        with open(full, "rb") as f:
+            content = f.read()
+            mtime = os.fstat(f.fileno()).st_mtime_ns // 1_000_000
+    except OSError:
+        return None
+    try:
+        content.decode("utf-8")
+        valid = True
+    except UnicodeDecodeError:
+        valid = False
+    return relative, len(content), mtime, valid, content
+
+
+def _contents(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    names, types = ["path", "bytes", "mtime_ms", "is_utf8", "content"], [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    rows: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            row = read_file(root, path)
+            if row is not None:
+                rows.append(row)
+                size += row[1]
+            if size >= BATCH_BYTES:
+                yield flush()
+                rows, size = [], 0
+    if rows:
+        yield flush()
+
+
+def scan(spark: SparkSession, root: str, **options: object) -> DataFrame:
+    """(path, bytes, mtime_ms, is_utf8, content) of all eligible files of a tree."""
+    listed = signatures(spark, root, **options).where("not rule").select("path")
+    tasks = max(shuffle_partitions(spark), spark.sparkContext.defaultParallelism)
+    return listed.repartition(tasks, F.xxhash64("path")).mapInArrow(partial(_contents, root=os.path.realpath(root)), SCHEMA)
