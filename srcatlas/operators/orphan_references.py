@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 2).
 
-Keys are 64-bit hashes cut into fixed ranges. Each range of the parents becomes one sorted array (with a running maximum of the
-death times beside it) and is probed with vectorised batches of references by binary search; a second, independent hash guards
-against collisions. Ranges hit by many references are split over several tasks, each with its own copy of the range's parents.
+Keys are 64-bit hashes cut into ranges, as many as keep a range's parents and references within bounds. Each range of the parents
+becomes one sorted array (with a running maximum of the death times beside it) and is probed with vectorised batches of references by
+binary search; a second, independent hash guards against collisions. A range that still is hit by many references, because one
+key is, is split over several tasks, each with its own copy of the range's parents.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.paths import canonical_path, module_targets, parent_dir
-from srcatlas.plans.runtime import shuffle_partitions
+from srcatlas.plans.runtime import checked_broadcast, cut, shuffle_partitions
 
+#: Parents and references that a range holds on average, at most.
+PER_RANGE = 200_000
 #: References that one copy of a range answers; ranges with more are split.
-PROBES_PER_SPLIT = 200_000
-#: Ranges per shuffle partition.
+PROBES_PER_SPLIT = 4 * PER_RANGE
+#: Ranges per shuffle partition, at least.
 RANGES_PER_PARTITION = 4
 FOREVER = np.iinfo(np.int64).max
 
@@ -116,7 +119,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends = np.r_[first[1:], len(pk)]
                 q, q2, t = k[a:b], k2[a:b], born[a:b]
                 g = np.searchsorted(starts, q, "left")
-                for _ in range(4):  # distinct keys of equal k are neighbours; more than four would be astronomically unlikely
+                while True:  # distinct keys of equal k are neighbours
                     miss = (g < len(starts)) & (starts[np.minimum(g, len(starts) - 1)] == q) & (pk2[first[np.minimum(g, len(starts) - 1)]] != q2)
                     if not miss.any():
                         break
@@ -145,21 +148,23 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def probed_references(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(import_id, ref_field, at, alive, before, later) for every record a reference may mean."""
     partitions = shuffle_partitions(imports.sparkSession)
-    bits = (partitions * RANGES_PER_PARTITION - 1).bit_length()
+    refs, parents = references_of(imports), parents_of(files)
+    # a few keys per row: enough to choose the number of ranges from the tables' sizes, which Parquet knows without a scan
+    bits = (max(partitions * RANGES_PER_PARTITION, 2 * (imports.count() + files.count()) // PER_RANGE) - 1).bit_length()
     range_id = F.shiftrightunsigned(F.col("k"), 64 - bits).cast("int")
-    refs = references_of(imports)
     probes = refs.withColumn("range_id", range_id)
-    # at most 2**bits rows, whatever the input: bounded, so it may be broadcast
-    load = probes.groupBy("range_id").agg(F.ceil(F.count(F.lit(1)) / PROBES_PER_SPLIT).cast("int").alias("splits"))
-    splits = F.broadcast(load)
+    # only ranges far above the mean, so at most (number of references) / PROBES_PER_SPLIT rows
+    load = probes.groupBy("range_id").agg(F.ceil(F.count(F.lit(1)) / PROBES_PER_SPLIT).cast("int").alias("splits")).where("splits > 1")
+    hot = checked_broadcast(cut(load))
+    splits = F.coalesce("splits", F.lit(1))
     none = F.lit(None).cast("bigint")
     left = (
-        probes.join(splits, "range_id")
-        .select("range_id", F.pmod(F.xxhash64("import_id", "ref_field"), F.col("splits")).cast("int").alias("split"), F.lit(True).alias("is_probe"), "k", "k2", F.col("at").alias("born"), F.lit(0).cast("bigint").alias("gone"), "import_id", "ref_field")
+        probes.join(hot, "range_id", "left")
+        .select("range_id", F.pmod(F.xxhash64("import_id", "ref_field"), splits).cast("int").alias("split"), F.lit(True).alias("is_probe"), "k", "k2", F.col("at").alias("born"), F.lit(0).cast("bigint").alias("gone"), "import_id", "ref_field")
     )
     right = (
-        parents_of(files).withColumn("range_id", range_id).join(splits, "range_id")
-        .select("range_id", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"), F.lit(False).alias("is_probe"), "k", "k2", "born", "gone", none.alias("import_id"), F.lit(None).cast("string").alias("ref_field"))
+        parents.withColumn("range_id", range_id).join(hot, "range_id", "left")
+        .select("range_id", F.explode(F.sequence(F.lit(0), splits - 1)).alias("split"), F.lit(False).alias("is_probe"), "k", "k2", "born", "gone", none.alias("import_id"), F.lit(None).cast("string").alias("ref_field"))
     )
     return (
         right.unionByName(left)
