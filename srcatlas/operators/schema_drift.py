@@ -1,7 +1,9 @@
 """Schemas that drift between files (problem 1).
 
-Each log file gets a fingerprint, its sorted fields and types. A file is compared with the one before it in its series; what
-differs becomes explicit migration steps (rename, add, remove, cast). Chained, the steps route every record into one table.
+Each log file gets a fingerprint, its sorted fields and types. Files whose fingerprint is the one of the file before have no change.
+Every other pair of fingerprints is looked at once: what differs becomes explicit steps, and only where fields both go and come are the
+contents of those fields, of those files, compared. The steps (rename, default, cast, drop) are chained and route every record
+into one table.
 """
 
 from __future__ import annotations
@@ -10,13 +12,15 @@ import json
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcatlas.plans.runtime import checked_broadcast, cut, salted_join, spread
+from srcatlas.plans.runtime import checked_broadcast, cut, salted_join, shuffle_partitions, spread
 
 #: Length of a field's content profile: half for the values' magnitudes or hashes, half for their shapes.
 PROFILE = 64
@@ -28,8 +32,8 @@ KNOWN_ADDS, KNOWN_SHARE = 0.7, 0.05
 STRANGE_TAKES = 0.3
 #: file_seq values per bucket of the two-level search for the file before.
 SEQ_BUCKET = 1024
-#: A file of a hot series is one of many small rows; nothing is ever gathered per series.
-FIELD = "struct<field: string, type: string, n: bigint, pos: double, profile: array<double>>"
+FILE = ["stream", "series", "file_seq", "log_file"]
+FILE_SCHEMA = "stream string, series string, file_seq bigint, log_file string"
 
 
 def _reject(name: str) -> None:
@@ -56,14 +60,11 @@ def flatten(value: dict, prefix: str = "") -> Iterator[tuple[str, object]]:
             yield prefix + key, x
 
 
+JSON_TYPES = {bool: "boolean", int: "integer", float: "decimal", list: "array", str: "string"}
+
+
 def json_type(x: object) -> str:
-    if isinstance(x, bool):
-        return "boolean"
-    if isinstance(x, int):
-        return "integer"
-    if isinstance(x, float):
-        return "decimal"
-    return "array" if isinstance(x, list) else "string"
+    return JSON_TYPES[type(x)]
 
 
 def _profile(x: object, into: list[float]) -> None:
@@ -71,8 +72,8 @@ def _profile(x: object, into: list[float]) -> None:
     half = PROFILE // 2
     if isinstance(x, list):
         into[half + 1] += 1
-        for y in x[:8]:
-            into[zlib.crc32(str(y).encode()) % half] += 0.125
+        for y in x:
+            into[zlib.crc32(str(y).encode("utf-8", "replace")) % half] += 1 / len(x)
         return
     text = str(x).lower() if isinstance(x, bool) else str(x)
     number = None
@@ -89,40 +90,43 @@ def _profile(x: object, into: list[float]) -> None:
         into[half] += 1
     else:
         into[zlib.crc32(text.encode("utf-8", "replace")) % half] += 1
-        kinds = {"a" if c.isalpha() and c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in text[:256]} | {f"length {len(text).bit_length()}"}
+        kinds = {"a" if c.isalpha() and c.islower() else "A" if c.isalpha() else "0" if c.isdigit() else c for c in set(text)} | {f"length {len(text).bit_length()}"}
         for kind in kinds:
             into[half + 2 + zlib.crc32(kind.encode("utf-8", "replace")) % (half - 2)] += 1 / len(kinds)
 
 
-def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fields per file and batch, already summed: what is shuffled grows with files, not with lines."""
-    for pdf in batches:
-        seen: dict[tuple, list] = {}
-        for stream, series, seq, log, raw in zip(pdf["stream"], pdf["series"], pdf["file_seq"], pdf["log_file"], pdf["raw"]):
+    names = [*FILE, "field", "type", "n", "pos"]
+    for batch in batches:
+        shapes: Counter = Counter()  # the lines of a file hardly differ in their fields
+        for *key, raw in zip(*(batch.column(c).to_pylist() for c in (*FILE, "raw"))):
             value = _object(raw)
-            if value is None:
-                continue
-            fields = list(flatten(value))
-            for i, (field, x) in enumerate(fields):
-                got = seen.setdefault((stream, series, seq, log, field), [json_type(x), 0, 0.0, [0.0] * PROFILE])
-                got[1] += 1
-                got[2] += i / len(fields)
-                _profile(x, got[3])
-        yield pd.DataFrame(
-            [(*key, t, n, pos, profile) for key, (t, n, pos, profile) in seen.items()],
-            columns=["stream", "series", "file_seq", "log_file", "field", "type", "n", "pos", "profile"],
-        )
+            if value is not None:
+                shapes[tuple(key), tuple([(f, type(x)) for f, x in flatten(value)])] += 1
+        seen: dict[tuple, list] = {}
+        for (key, shape), times in shapes.items():
+            for i, (field, kind) in enumerate(shape):
+                got = seen.setdefault((*key, field), ["", 0, 0.0])
+                got[0] = max(got[0], JSON_TYPES[kind])
+                got[1] += times
+                got[2] += times * i / len(shape)
+        rows = [(*key, *got) for key, got in seen.items()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names=names)
+
+
+def _usable(records: DataFrame) -> DataFrame:
+    return records.select(*FILE, "raw").where(F.col("raw").isNotNull() & F.col("series").isNotNull() & F.col("file_seq").isNotNull())
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
     """(stream, series, file_seq, log_file, fields, fingerprint): one row per file with at least one JSON object."""
-    rows = spread(records.select("stream", "series", "file_seq", "log_file", "raw").where(F.col("raw").isNotNull() & F.col("series").isNotNull() & F.col("file_seq").isNotNull()))
-    parts = rows.mapInPandas(_describe, "stream string, series string, file_seq bigint, log_file string, field string, type string, n bigint, pos double, profile array<double>")
-    per_field = parts.groupBy("stream", "series", "file_seq", "log_file", "field").agg(
-        F.max("type").alias("type"), F.sum("n").alias("n"), (F.sum("pos") / F.sum("n")).alias("pos"), *[F.sum(F.col("profile")[i]).alias(f"p{i}") for i in range(PROFILE)]
-    )
-    field = F.struct("field", "type", "n", "pos", F.array(*[f"p{i}" for i in range(PROFILE)]).alias("profile"))
-    files = per_field.groupBy("stream", "series", "file_seq", "log_file").agg(F.sort_array(F.collect_list(field)).alias("fields"))
+    parts = spread(_usable(records)).mapInArrow(_described, FILE_SCHEMA + ", field string, type string, n bigint, pos double")
+    # by file once; both groupings below go by it
+    placed = parts.repartition(shuffle_partitions(records.sparkSession), *FILE)
+    per_field = placed.groupBy(*FILE, "field").agg(F.max("type").alias("type"), (F.sum("pos") / F.sum("n")).alias("pos"))
+    files = per_field.groupBy(*FILE).agg(F.sort_array(F.collect_list(F.struct("field", "type", "pos"))).alias("fields"))
     text = F.array_join(F.transform("fields", lambda x: F.concat_ws(":", x["field"], x["type"])), ",")
     return files.withColumn("fingerprint", F.sha2(text, 256))
 
@@ -137,13 +141,55 @@ def _with_before(files: DataFrame) -> DataFrame:
     return inside.join(earlier, ["stream", "series", "bucket"]).select("stream", "series", "file_seq", F.coalesce("before_seq", "before_bucket").alias("before_seq"))
 
 
-def file_steps(records: DataFrame) -> DataFrame:
-    """Each file but the first of its series, beside the file before: (stream, series, file_seq, log_file, before, fields)."""
-    files = cut(file_schemas(records))  # read three times below; one row per file
+def file_steps(files: DataFrame) -> DataFrame:
+    """Each file that differs from the one before it in its series: (stream, series, file_seq, log_file, before_seq, before_log, before, was, fields, fingerprint).
+
+    before and fields are the fields of the two files, was and fingerprint their fingerprints. Files of equal fingerprints have no step.
+    """
     linked = files.join(_with_before(files), ["stream", "series", "file_seq"])
-    after = linked.where(F.col("before_seq").isNotNull())
-    before = files.groupBy("stream", "series", F.col("file_seq").alias("before_seq")).agg(F.max_by("fields", "log_file").alias("before"))
-    return after.join(before, ["stream", "series", "before_seq"]).select("stream", "series", "file_seq", "log_file", "before", "fields", "fingerprint")
+    held = F.max(F.struct("log_file", "fields", "fingerprint"))
+    before = files.groupBy("stream", "series", F.col("file_seq").alias("before_seq")).agg(held.alias("b"))
+    joined = linked.where(F.col("before_seq").isNotNull()).join(before, ["stream", "series", "before_seq"]).where(F.col("b.fingerprint") != F.col("fingerprint"))
+    return joined.select(*FILE, "before_seq", F.col("b.log_file").alias("before_log"), F.col("b.fields").alias("before"), F.col("b.fingerprint").alias("was"), "fields", "fingerprint")
+
+
+def _profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content profiles of the wanted fields per file and batch, already summed."""
+    for batch in batches:
+        seen: dict[tuple, list[float]] = {}
+        known: dict[tuple, list[tuple[int, float]]] = {}  # what a value adds: values repeat
+        for *key, raw, wanted in zip(*(batch.column(c).to_pylist() for c in (*FILE, "raw", "wanted"))):
+            value = _object(raw)
+            if value is None:
+                continue
+            wanted = set(wanted)
+            for field, x in flatten(value):
+                if field not in wanted:
+                    continue
+                into = seen.setdefault((*key, field), [0.0] * PROFILE)
+                if isinstance(x, list):
+                    _profile(x, into)
+                    continue
+                adds = known.get((type(x), x))
+                if adds is None:
+                    one = [0.0] * PROFILE
+                    _profile(x, one)
+                    adds = known[type(x), x] = [(i, y) for i, y in enumerate(one) if y]
+                for i, y in adds:
+                    into[i] += y
+        columns = list(zip(*seen)) if seen else [()] * 5
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types)), pa.array(list(seen.values()), pa.list_(pa.float64()))], names=[*FILE, "field", "profile"])
+
+
+def content_profiles(records: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(stream, series, file_seq, log_file, profiles): the profiles of the fields (file, field) asked for; a file of many rows is met by all tasks."""
+    lists = wanted.distinct().groupBy(*FILE).agg(F.collect_list("field").alias("wanted"))
+    rows = salted_join(_usable(records), lists, FILE, "raw")
+    parts = spread(rows).mapInArrow(_profiled, FILE_SCHEMA + ", field string, profile array<double>")
+    sums = parts.groupBy(*FILE, "field").agg(*[F.sum(F.col("profile")[i]).alias(f"p{i}") for i in range(PROFILE)])
+    one = F.struct("field", F.array(*[f"p{i}" for i in range(PROFILE)]).alias("profile"))
+    return sums.groupBy(*FILE).agg(F.collect_list(one).alias("profiles"))
 
 
 def _words(field: str) -> set[str]:
@@ -230,11 +276,48 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
 STEP = "step_id bigint, field string, becomes string, chosen boolean"
 
 
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """What two fingerprints alone say about a step: its changes if fields only go or only come, else nothing, the contents being needed."""
+    for pdf in batches:
+        rows = []
+        for was, now, before, after in zip(pdf["was"], pdf["fingerprint"], pdf["before"], pdf["fields"]):
+            old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
+            gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
+            open_ = any(_may_be(old[a], new[b]) and a.rpartition(".")[0] == b.rpartition(".")[0] for a in gone for b in come)
+            rows.append((was, now, gone if open_ else [], come if open_ else [], [] if open_ else _changes(old, new, {}), open_))
+        yield pd.DataFrame(rows, columns=["was", "fingerprint", "gone", "come", "changes", "open"])
+
+
+def _may_be(a: str, b: str) -> bool:
+    """Whether a field of type a may go on as one of type b."""
+    return (a == "array") == (b == "array") and (a == "boolean") == (b == "boolean")
+
+
+def _changes(old: dict[str, str], new: dict[str, str], renames: dict[str, str]) -> list[tuple[str, str, str, str | None]]:
+    """(field, change, becomes, type after) of one step."""
+    rows: list[tuple[str, str, str, str | None]] = []
+    for f in old:
+        if f in renames:
+            rows.append((f, "renamed", renames[f], new[renames[f]]))
+        elif f not in new:
+            rows.append((f, "removed", "", None))
+        elif new[f] != old[f]:
+            rows.append((f, "type_changed", new[f], new[f]))
+    taken = set(renames.values())
+    return rows + [(f, "added", "", new[f]) for f in new if f not in old and f not in taken]
+
+
+def _with_profiles(fields: list[dict], profiles: list[dict] | None) -> list[dict]:
+    known = {x["field"]: x["profile"] for x in profiles} if profiles is not None else {}
+    return [{"field": x["field"], "type": x["type"], "pos": x["pos"], "profile": known.get(x["field"], [0.0] * PROFILE)} for x in fields]
+
+
 def _first_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each file the fields that are gone and, without knowledge of other files, what each becomes ('' if nothing), then the further pairs that could be."""
     for pdf in batches:
         rows = []
-        for step, before, after in zip(pdf["step_id"], pdf["before"], pdf["fields"]):
+        for step, before, after, was, now in zip(pdf["step_id"], pdf["before"], pdf["fields"], pdf["before_profiles"], pdf["profiles"]):
+            before, after = _with_profiles(before, was), _with_profiles(after, now)
             renames = match_renames(before, after)
             old, new = {x["field"]: x for x in before}, {x["field"]: x for x in after}
             come = [f for f in new if f not in old]
@@ -247,23 +330,14 @@ def _first_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for stream, series, seq, log, before, after, known in zip(pdf["stream"], pdf["series"], pdf["file_seq"], pdf["log_file"], pdf["before"], pdf["fields"], pdf["known"]):
-            before, after = list(before), list(after)
+        for *head, before, after, was, now, known in zip(*(pdf[c] for c in (*FILE, "before", "fields", "before_profiles", "profiles", "known"))):
+            before, after = _with_profiles(before, was), _with_profiles(after, now)
             renames = match_renames(before, after, frozenset() if known is None else frozenset((x["field"], x["becomes"]) for x in known))
-            old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
-            head = (stream, series, seq, log)
-            for f in old:
-                if f in renames:
-                    rows.append((*head, f, "renamed", renames[f], new[renames[f]]))
-                elif f not in new:
-                    rows.append((*head, f, "removed", "", None))
-                elif new[f] != old[f]:
-                    rows.append((*head, f, "type_changed", new[f], new[f]))
-            rows += [(*head, f, "added", "", new[f]) for f in new if f not in old and f not in renames.values()]
-        yield pd.DataFrame(rows, columns=["stream", "series", "file_seq", "log_file", "field", "change", "becomes", "type"])
+            rows += [(*head, *x) for x in _changes({x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}, renames)]
+        yield pd.DataFrame(rows, columns=[*FILE, "field", "change", "becomes", "type"])
 
 
-CHANGE = "stream string, series string, file_seq bigint, log_file string, field string, change string, becomes string, type string"
+CHANGE = FILE_SCHEMA + ", field string, change string, becomes string, type string"
 
 
 def schema_changes(records: DataFrame) -> DataFrame:
@@ -271,17 +345,48 @@ def schema_changes(records: DataFrame) -> DataFrame:
 
     change is added, removed, renamed (becomes: the new name) or type_changed (becomes: the new type); type is the type after.
     Lines that are no JSON object, nulls, repeated lines and gaps in file_seq do not matter; a file without any JSON object is
-    passed over; rows without series, file_seq or raw are left out. An empty table gives an empty result.
+    passed over; rows without stream, series, file_seq or raw are left out; files without a log_file name are compared by names and
+    places only. An empty table gives an empty result.
     """
-    steps = cut(file_steps(records).select(F.monotonically_increasing_id().alias("step_id"), "stream", "series", "file_seq", "log_file", "before", "fields"))
-    pairs = cut(steps.select("step_id", "before", "fields").mapInPandas(_first_steps, STEP))  # read three times below; no profiles
-    counts = pairs.where("chosen").groupBy("field", "becomes").agg(F.count(F.lit(1)).alias("seen"))
+    files = cut(file_schemas(records))  # read three times below; one row per file
+    steps = cut(file_steps(files).withColumn("step_id", F.monotonically_increasing_id()))  # one row per file that differs
+    pairs = steps.groupBy("was", "fingerprint").agg(F.first("before").alias("before"), F.first("fields").alias("fields"))
+    schema = "was string, fingerprint string, gone array<string>, come array<string>, changes array<struct<field: string, change: string, becomes: string, type: string>>, open boolean"
+    verdicts = cut(pairs.mapInPandas(_settled, schema))  # one row per distinct pair of fingerprints
+    judged = cut(salted_join(steps, verdicts, ["was", "fingerprint"], "step_id"))
+    settled = judged.where("not open").select(*FILE, F.inline("changes"))
+    open_ = judged.where("open").select("step_id", *FILE, "before_seq", "before_log", "before", "fields", "gone", "come")
+    before_key = [F.col("stream"), F.col("series"), F.col("before_seq").alias("file_seq"), F.col("before_log").alias("log_file")]
+    wanted = open_.select(*before_key, F.explode("gone").alias("field")).unionByName(open_.select(*FILE, F.explode("come").alias("field")))
+    profiles = cut(content_profiles(records, wanted))
+    was = profiles.select("stream", "series", F.col("file_seq").alias("before_seq"), F.col("log_file").alias("before_log"), F.col("profiles").alias("before_profiles"))
+    known_content = cut(open_.drop("gone", "come").join(profiles, FILE, "left").join(was, ["stream", "series", "before_seq", "before_log"], "left"))
+    first = cut(known_content.select("step_id", "before", "fields", "before_profiles", "profiles").mapInPandas(_first_steps, STEP))  # no profiles
+    # how often each field of all files went, and what it then became
+    plain = settled.where("change = 'removed'").select("field", "becomes")
+    counts = first.where("chosen").select("field", "becomes").unionByName(plain).groupBy("field", "becomes").agg(F.count(F.lit(1)).alias("seen"))
     totals = counts.groupBy("field").agg(F.sum("seen").alias("total"))
     seen = counts.where("becomes != ''").join(totals, "field").where(F.col("seen") >= KNOWN_SHARE * F.col("total")).select("field", "becomes")
     known = cut(seen.union(seen.select("becomes", "field")).distinct())
-    helped = salted_join(pairs.where("becomes != ''"), known, ["field", "becomes"], "step_id")
-    lists = cut(helped.groupBy("step_id").agg(F.collect_set(F.struct("field", "becomes")).alias("known")))
-    return steps.join(checked_broadcast(lists), "step_id", "left").mapInPandas(_compare, CHANGE)
+    helped = salted_join(first.where("becomes != ''"), known, ["field", "becomes"], "step_id")
+    lists = helped.groupBy("step_id").agg(F.collect_set(F.struct("field", "becomes")).alias("known"))
+    compared = known_content.join(lists, "step_id", "left").mapInPandas(_compare, CHANGE)
+    return settled.unionByName(compared)
+
+
+#: The rule that each change adds to the route of later records.
+RULES = {"renamed": "rename", "added": "default", "type_changed": "cast", "removed": "drop"}
+
+
+def migration_steps(changes: DataFrame) -> DataFrame:
+    """(stream, series, file_seq, log_file, rule, field, target): what carries records of earlier files over each file's changes.
+
+    rename: field goes on as target; default: earlier records have no field, null stands for it, target is its type; cast: values
+    of field are cast to the type target; drop: later records have no field, null stands for it.
+    """
+    rule = F.create_map(*[F.lit(x) for kv in RULES.items() for x in kv])[F.col("change")]
+    target = F.when(F.col("change") == "added", F.col("type")).otherwise(F.col("becomes"))
+    return changes.select(*FILE, rule.alias("rule"), "field", target.alias("target"))
 
 
 def schema_versions(records: DataFrame) -> DataFrame:
@@ -339,18 +444,26 @@ def consistent_records(records: DataFrame) -> DataFrame:
     return routed.mapInPandas(_cells, "record_id bigint, stream string, series string, file_seq bigint, cells map<string,string>")
 
 
-def consistent_table(records: DataFrame, stream: str, columns: dict[str, str], renames: dict[str, str] | None = None) -> DataFrame:
+def consistent_table(records: DataFrame, stream: str, columns: dict[str, str], renames: dict[str, str] | None = None, defaults: dict[str, object] | None = None) -> DataFrame:
     """One typed table of a stream: columns maps canonical fields to Spark types.
 
-    renames maps further names to canonical ones. Values are cast (true, "true" and 1 are one boolean); what cannot be cast is null. Dots in names become underscores.
+    renames maps further names to canonical ones. Values are cast (true, "true" and 1 are one boolean; a number with a fraction
+    is rounded where an integer is asked for); a field that a record lacks takes its default, null if there is none. `failed` lists
+    the fields whose value could not be cast and is null for that reason. Dots in names become underscores.
     """
     by_type = {
         "boolean": lambda c: F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False),
-        "bigint": lambda c: F.round(c.try_cast("double")).cast("bigint"),
+        # whole numbers stay exact beyond 2^53; only what has a fraction or an exponent goes through a decimal
+        "bigint": lambda c: F.coalesce(c.try_cast("bigint"), F.round(c.try_cast("decimal(38,10)")).try_cast("bigint"), F.round(c.try_cast("double")).try_cast("bigint")),
     }
     rows = consistent_records(records).where(F.col("stream") == stream)
 
-    def cell(field: str):
+    def cell(field: str) -> Column:
         return F.coalesce(*[F.col("cells")[f] for f in (field, *[a for a, b in (renames or {}).items() if b == field])])
 
-    return rows.select("record_id", "series", "file_seq", *[by_type.get(t, lambda c, t=t: c.try_cast(t))(cell(f)).alias(f.replace(".", "_")) for f, t in columns.items()])
+    def typed(field: str, kind: str) -> Column:
+        return by_type.get(kind, lambda c: c.try_cast(kind))(cell(field))
+
+    failed = F.array_compact(F.array(*[F.when(cell(f).isNotNull() & typed(f, t).isNull(), f) for f, t in columns.items()]))
+    value = lambda f, t: F.when(cell(f).isNull(), F.lit((defaults or {}).get(f)).cast(t)).otherwise(typed(f, t))
+    return rows.select("record_id", "series", "file_seq", *[value(f, t).alias(f.replace(".", "_")) for f, t in columns.items()], failed.alias("failed"))
