@@ -276,16 +276,31 @@ def match_renames(before: list[dict], after: list[dict], known: frozenset[tuple[
 STEP = "step_id bigint, field string, becomes string, chosen boolean"
 
 
+_STEP = FILE_SCHEMA + ", before_seq bigint, before_log string, step_id bigint"
+_FIELDS = "array<struct<field: string, type: string, pos: double>>"
+_SETTLED = f"{_STEP}, before {_FIELDS}, fields {_FIELDS}, gone array<string>, come array<string>, changes array<struct<field: string, change: string, becomes: string, type: string>>, open boolean"
+
+
 def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What two fingerprints alone say about a step: its changes if fields only go or only come, else nothing, the contents being needed."""
+    """What two fingerprints alone say about a step: its changes if fields only go or only come, else nothing, the contents being needed.
+
+    Each pair of fingerprints is judged once by a worker.
+    """
+    known: dict[tuple[str, str], tuple] = {}
     for pdf in batches:
         rows = []
         for was, now, before, after in zip(pdf["was"], pdf["fingerprint"], pdf["before"], pdf["fields"]):
-            old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
-            gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
-            open_ = any(_may_be(old[a], new[b]) and a.rpartition(".")[0] == b.rpartition(".")[0] for a in gone for b in come)
-            rows.append((was, now, gone if open_ else [], come if open_ else [], [] if open_ else _changes(old, new, {}), open_))
-        yield pd.DataFrame(rows, columns=["was", "fingerprint", "gone", "come", "changes", "open"])
+            verdict = known.get((was, now))
+            if verdict is None:
+                old, new = {x["field"]: x["type"] for x in before}, {x["field"]: x["type"] for x in after}
+                gone, come = [f for f in old if f not in new], [f for f in new if f not in old]
+                open_ = any(_may_be(old[a], new[b]) and a.rpartition(".")[0] == b.rpartition(".")[0] for a in gone for b in come)
+                verdict = known[was, now] = (gone if open_ else [], come if open_ else [], [] if open_ else _changes(old, new, {}), open_)
+            rows.append(verdict)
+        out = pdf.drop(columns=["was", "fingerprint"])
+        for i, name in enumerate(("gone", "come", "changes", "open")):
+            out[name] = [x[i] for x in rows]
+        yield out
 
 
 def _may_be(a: str, b: str) -> bool:
@@ -349,26 +364,24 @@ def schema_changes(records: DataFrame) -> DataFrame:
     places only. An empty table gives an empty result.
     """
     files = cut(file_schemas(records))  # read three times below; one row per file
-    steps = cut(file_steps(files).withColumn("step_id", F.monotonically_increasing_id()))  # one row per file that differs
-    pairs = steps.groupBy("was", "fingerprint").agg(F.first("before").alias("before"), F.first("fields").alias("fields"))
-    schema = "was string, fingerprint string, gone array<string>, come array<string>, changes array<struct<field: string, change: string, becomes: string, type: string>>, open boolean"
-    verdicts = cut(pairs.mapInPandas(_settled, schema))  # one row per distinct pair of fingerprints
-    judged = cut(salted_join(steps, verdicts, ["was", "fingerprint"], "step_id"))
+    steps = file_steps(files).withColumn("step_id", F.monotonically_increasing_id())
+    # one row per file that differs from the one before
+    judged = cut(steps.select(*FILE, "before_seq", "before_log", "step_id", "before", "fields", "was", "fingerprint").mapInPandas(_settled, _SETTLED))
     settled = judged.where("not open").select(*FILE, F.inline("changes"))
     open_ = judged.where("open").select("step_id", *FILE, "before_seq", "before_log", "before", "fields", "gone", "come")
     before_key = [F.col("stream"), F.col("series"), F.col("before_seq").alias("file_seq"), F.col("before_log").alias("log_file")]
     wanted = open_.select(*before_key, F.explode("gone").alias("field")).unionByName(open_.select(*FILE, F.explode("come").alias("field")))
     profiles = cut(content_profiles(records, wanted))
     was = profiles.select("stream", "series", F.col("file_seq").alias("before_seq"), F.col("log_file").alias("before_log"), F.col("profiles").alias("before_profiles"))
-    known_content = cut(open_.drop("gone", "come").join(profiles, FILE, "left").join(was, ["stream", "series", "before_seq", "before_log"], "left"))
+    known_content = open_.drop("gone", "come").join(profiles, FILE, "left").join(was, ["stream", "series", "before_seq", "before_log"], "left")
     first = cut(known_content.select("step_id", "before", "fields", "before_profiles", "profiles").mapInPandas(_first_steps, STEP))  # no profiles
     # how often each field of all files went, and what it then became
     plain = settled.where("change = 'removed'").select("field", "becomes")
     counts = first.where("chosen").select("field", "becomes").unionByName(plain).groupBy("field", "becomes").agg(F.count(F.lit(1)).alias("seen"))
     totals = counts.groupBy("field").agg(F.sum("seen").alias("total"))
     seen = counts.where("becomes != ''").join(totals, "field").where(F.col("seen") >= KNOWN_SHARE * F.col("total")).select("field", "becomes")
-    known = cut(seen.union(seen.select("becomes", "field")).distinct())
-    helped = salted_join(first.where("becomes != ''"), known, ["field", "becomes"], "step_id")
+    known = seen.union(seen.select("becomes", "field")).distinct()
+    helped = first.where("becomes != ''").join(known, ["field", "becomes"])  # known steps are few, and a hot one is split at run time
     lists = helped.groupBy("step_id").agg(F.collect_set(F.struct("field", "becomes")).alias("known"))
     compared = known_content.join(lists, "step_id", "left").mapInPandas(_compare, CHANGE)
     return settled.unionByName(compared)
