@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 _DQ, _SQ, _BACK = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"`(?:[^`\\]|\\.)*`"
 _C = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
@@ -56,14 +56,53 @@ def brackets(mask: str) -> dict[int, int]:
     """Where each opening bracket closes; unmatched ones are left out."""
     pairs, stack = {}, []
     close = {")": "(", "]": "[", "}": "{"}
+    open_ = dict.fromkeys("([{", 0)
     for m in re.finditer(r"[()\[\]{}]", mask):
         c = m.group()
-        if c in "([{":
+        if c in open_:
             stack.append((c, m.start()))
-        elif stack and stack[-1][0] == close[c]:
-            pairs[stack.pop()[1]] = m.start()
-        elif any(x[0] == close[c] for x in stack):
-            while stack and stack[-1][0] != close[c]:
-                stack.pop()
+            open_[c] += 1
+        elif open_[close[c]]:
+            while stack[-1][0] != close[c]:
+                open_[stack.pop()[0]] -= 1
+            open_[close[c]] -= 1
             pairs[stack.pop()[1]] = m.start()
     return pairs
+
+
+class Enclosing:
+    """The innermost pair of one kind of bracket around a position, by one pass over the pairs and a binary search per question."""
+
+    def __init__(self, mask: str, pairs: dict[int, int], kind: str = "{", unclosed: set[int] = frozenset()) -> None:
+        """Brackets that are never closed count only if they are named as unclosed; they reach to the end or that of the pair around them."""
+        spans = {o: c for o, c in pairs.items() if mask[o] == kind} | {o: len(mask) for o in unclosed if o not in pairs}
+        events = sorted([(o, o) for o in spans] + [(c, o) for o, c in spans.items()])
+        self.at: list[int] = []
+        self.inside: list[int] = []
+        #: The pair around each pair, by their openings; -1 for none.
+        self.parent: dict[int, int] = {}
+        stack, held = [-1], set()
+        for at, o in events:
+            if at == o:
+                self.parent[o] = stack[-1]
+                stack.append(o)
+                held.add(o)
+            elif o in held:
+                while (top := stack.pop()) != o:
+                    held.discard(top)
+                held.discard(o)
+            self.at.append(at)
+            self.inside.append(stack[-1])
+
+    def __call__(self, position: int) -> int:
+        """Where the innermost pair around a position opens, -1 if there is none."""
+        i = bisect_left(self.at, position) - 1
+        return self.inside[i] if i >= 0 else -1
+
+    def within(self, openings: set[int]) -> set[int]:
+        """The pairs that are one of some pairs or lie in one."""
+        result: set[int] = set()
+        for o in sorted(self.parent):
+            if o in openings or self.parent[o] in result:
+                result.add(o)
+        return result

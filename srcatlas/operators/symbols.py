@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.text import ascii_lower, split_lines
-from srcatlas.operators.lexing import FAMILY, Positions, brackets, masked
+from srcatlas.operators.lexing import FAMILY, Enclosing, Positions, brackets, masked
 from srcatlas.plans.runtime import spread
 
 KINDS = ("function", "method", "class", "struct", "enum", "interface", "trait", "impl", "type", "const", "module", "variable", "key")
@@ -51,26 +51,35 @@ def _opening(mask: str, at: int, pairs: dict[int, int], stop: str = ";") -> int
     return None
 
 
+_SOLID = re.compile(r"\S")
+_STOPS = re.compile(r"[;\n}(\[{]")
+
+
 def _statement_end(mask: str, at: int, pairs: dict[int, int]) -> int:
-    """The last position of a statement: its ; or the line end that no bracket spans."""
-    while at < len(mask):
-        c = mask[at]
+    """The last position of a statement: its ; or the line end that no bracket or operator spans."""
+    begin = at
+    while m := _STOPS.search(mask, at):
+        at, c = m.start(), m.group()
         if c == ";":
             return at
-        if c in "([{" and at in pairs:
-            at = pairs[at]
-        elif c == "}" or c == "\n" and not re.match(r"\s*[.?:=+\-*/&|,]", mask[at:at + 80]) and not re.search(r"[=,+\-*/&|(?:]\s*$", mask[max(0, at - 80):at]):
+        if c == "}":
             return at - 1
-        at += 1
+        if c == "\n":
+            before = at - 1
+            while before >= begin and mask[before].isspace():
+                before -= 1
+            after = _SOLID.search(mask, at)
+            goes_on = after and after.group() in ".?:=+-*/&|," or before >= begin and mask[before] in "=,+-*/&|(?:"
+            if not goes_on:
+                return at - 1
+            at = begin = after.start() if after else len(mask)  # the white space between is looked at once
+            continue
+        at = pairs.get(at, at) + 1
     return len(mask) - 1
 
 
-def _inside(spans: list[tuple[int, int]], at: int) -> bool:
-    return any(a < at < b for a, b in spans)
-
-
 def _rust(text: str, mask: str, pairs: dict[int, int]) -> list[Found]:
-    found, impls = [], []
+    found, impls = [], set()
     vis = r"(?:pub(?:\s*\([^)]*\))?\s+)?"
     for m in re.finditer(rf"(?<![\w#]){vis}(?:default\s+)?(?:unsafe\s+)?impl\b", mask):
         body = _opening(mask, m.end(), pairs)
@@ -85,12 +94,14 @@ def _rust(text: str, mask: str, pairs: dict[int, int]) -> list[Found]:
                     head = head[i + 1 :].strip()
                     break
         end = pairs.get(body, len(mask) - 1)
-        impls.append((body, end))
+        impls.add(body)
         found.append(Found(m.start(), " for ".join(re.sub(r"\s+", " ", x).strip() for x in re.split(r"\s+for\s+", head)), "impl", body, end))
+    around = Enclosing(mask, pairs, unclosed=impls)
+    methods = around.within(impls)
     for m in re.finditer(rf"(?<![\w#]){vis}(?:(?:default|const|async|unsafe)\s+|extern\s*(?:\"[^\"]*\")?\s*)*fn\s+(?P<n>(?:r#)?\w+)", mask):
         body = _opening(mask, m.end(), pairs)
         if body is not None:
-            found.append(Found(m.start(), m["n"], "method" if _inside(impls, m.start()) else "function", body, pairs.get(body, len(mask) - 1)))
+            found.append(Found(m.start(), m["n"], "method" if around(m.start()) in methods else "function", body, pairs.get(body, len(mask) - 1)))
     for m in re.finditer(rf"(?<![\w#]){vis}(?:unsafe\s+)?(?P<k>struct|enum|trait|mod|type|const)\s+(?P<n>(?:r#)?[A-Za-z_]\w*)(?!\s*!)", mask):
         if m["k"] == "const" and m["n"] in ("fn", "unsafe", "async", "extern"):
             continue
@@ -103,17 +114,17 @@ def _rust(text: str, mask: str, pairs: dict[int, int]) -> list[Found]:
 
 
 def _js(text: str, mask: str, pairs: dict[int, int], typed: bool) -> list[Found]:
-    found, classes = [], []
+    found, classes = [], set()
     for m in re.finditer(rf"(?<![\w$.])class\s+(?P<n>{_ID})", mask):
         if re.search(r"\babstract\s+$", mask[max(0, m.start() - 12) : m.start()]):
             body = _opening(mask, m.end(), pairs)
             if body is not None:
-                classes.append((body, pairs.get(body, len(mask))))
+                classes.add(body)
             continue
         body = _opening(mask, m.end(), pairs)
         if body is not None:
             end = pairs.get(body, len(mask) - 1)
-            classes.append((body, end))
+            classes.add(body)
             found.append(Found(m.start(), m["n"], "class", body, end))
     for m in re.finditer(rf"(?<![\w$.])(?:async\s+)?function\s+(?P<n>{_ID})\s*(?=[(<])", mask):
         if re.search(r"[=(,:?&|]\s*$|\breturn\s+$", mask[max(0, m.start() - 10) : m.start()]):
@@ -121,15 +132,16 @@ def _js(text: str, mask: str, pairs: dict[int, int], typed: bool) -> list[Found]
         body = _opening(mask, m.end(), pairs)
         if body is not None:
             found.append(Found(m.start(), m["n"], "function", body, pairs.get(body, len(mask) - 1)))
-    for a, b in classes:
-        for m in re.compile(rf"(?:(?<=[{{}};\n])|(?<=\*/))\s*(?P<all>(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?\s*{_NOT_NAMES}(?P<n>#?{_ID})\s*(?:<[^;{{}}()]*>\s*)?\()").finditer(mask, a + 1, b):
-            close = pairs.get(m.end() - 1)
-            if close is None:
-                continue
-            body = _opening(mask, close + 1, pairs)
-            depth = [x for x in classes if x[0] < m.start("all") < x[1]]
-            if body is not None and max(depth) == (a, b) and not any(a < o < m.start("all") < c for o, c in pairs.items() if mask[o] == "{" and o > a):
-                found.append(Found(m.start("all"), m["n"], "method", body, pairs.get(body, len(mask) - 1)))
+    around = Enclosing(mask, pairs, unclosed=classes)
+    # a method's head lies directly in its class's body; white space is not gone through for every line end in it
+    head = re.compile(rf"(?<=[{{}};\n])[^\S\n]*(?P<all>(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*(?:\*\s*)?{_NOT_NAMES}(?P<n>#?{_ID})\s*(?:<[^;{{}}()]*>\s*)?\()")
+    for m in head.finditer(mask) if classes else ():
+        close = pairs.get(m.end() - 1)
+        if close is None or around(m.start("all")) not in classes:
+            continue
+        body = _opening(mask, close + 1, pairs)
+        if body is not None:
+            found.append(Found(m.start("all"), m["n"], "method", body, pairs.get(body, len(mask) - 1)))
     if typed:
         for m in re.finditer(rf"(?<![\w$.])interface\s+(?P<n>{_ID})", mask):
             body = _opening(mask, m.end(), pairs)
@@ -137,36 +149,51 @@ def _js(text: str, mask: str, pairs: dict[int, int], typed: bool) -> list[Found]
                 continue
             end = pairs.get(body, len(mask) - 1)
             found.append(Found(m.start(), m["n"], "interface", body, end))
-            for s in re.compile(rf"(?<=[{{;,\n])\s*(?P<n>{_ID})\??\s*(?:<[^;{{}}()]*>\s*)?\(").finditer(mask, body, end):
+            for s in re.compile(rf"(?<=[{{;,\n])[^\S\n]*(?P<n>{_ID})\??\s*(?:<[^;{{}}()]*>\s*)?\(").finditer(mask, body, end):
                 close = pairs.get(s.end() - 1)
                 if close is not None:
                     found.append(Found(s.start("n"), s["n"], "method", None, _statement_end(mask, close, pairs)))
         for m in re.finditer(rf"(?<![\w$.])type\s+(?P<n>{_ID})\s*(?:<[^=;]*>)?\s*=(?!=)", mask):
             found.append(Found(m.start(), m["n"], "type", None, _statement_end(mask, m.end(), pairs)))
+    in_class = around.within(classes)
     for m in re.finditer(rf"(?<![\w$.])(?:let|const|var)\s+(?P<n>{_ID}|\{{[^}}]*\}}|\[[^\]]*\])", mask):
-        if _inside(classes, m.start()) or re.match(r"enum\b", m["n"]):
+        if around(m.start()) in in_class or re.match(r"enum\b", m["n"]):
             continue
-        rest = mask[m.end() : m.end() + 400]
-        if re.match(r"\s+(?:of|in)\b", rest):
+        if _LOOP.match(mask, m.end()):
             continue  # a loop's own variable is no declaration
-        value = re.match(r"(?:\s*:[^=;\n]*(?:=>[^=;\n]*)?)?\s*=(?!=)\s*(?P<v>.*)", rest, re.S)
-        first = value["v"] if value else ""
+        value = _INITIAL.match(mask, m.end())
         kind = "variable"
-        if re.match(r"(?:async\s+)?function\b|(?:async\s*)?(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|[\w$]+)\s*(?::[^=]*)?=>", first):
-            kind = "function"
-        elif re.match(r"class\b", first):
-            kind = "class"
+        if value:
+            at = value.end()
+            if _FUNCTION.match(mask, at) or _is_arrow(mask, at, pairs):
+                kind = "function"
+            elif _CLASS.match(mask, at):
+                kind = "class"
         found.append(Found(m.start(), text[m.start("n") : m.end("n")], kind, None, _statement_end(mask, m.end(), pairs)))
     return found
 
 
+_LOOP, _FUNCTION, _CLASS = re.compile(r"\s+(?:of|in)\b"), re.compile(r"(?:async\s+)?function\b"), re.compile(r"class\b")
+_INITIAL = re.compile(r"(?:\s*:[^=;\n]*(?:=>[^=;\n]*)?)?\s*=(?!=)\s*")
+_ASYNC, _ONE_NAME, _ARROW = re.compile(r"async\s*"), re.compile(r"[\w$]+"), re.compile(r"\s*(?::[^=;]*)?=>")
+
+
+def _is_arrow(mask: str, at: int, pairs: dict[int, int]) -> bool:
+    """Whether an arrow function begins here: parameters in brackets or one name, then an arrow, however long they are."""
+    for start in {at, m.end() if (m := _ASYNC.match(mask, at)) else at}:
+        end = pairs[start] + 1 if mask[start : start + 1] == "(" and start in pairs else m.end() if (m := _ONE_NAME.match(mask, start)) else None
+        if end is not None and _ARROW.match(mask, end):
+            return True
+    return False
+
+
 def _go(text: str, mask: str, pairs: dict[int, int]) -> list[Found]:
-    found = []
+    found, in_brackets = [], Enclosing(mask, pairs, "(")
     for m in re.finditer(r"(?m)^func\s+(?P<r>\([^)]*\)\s*)?(?P<n>\w+)", mask):
         body = _opening(mask, m.end(), pairs, "")
         line_end = mask.find("\n", m.end())
-        if body is not None and (0 <= line_end < body) and not any(o < body < c for o, c in pairs.items() if mask[o] == "("):
-            body = None if not re.search(r"[({,]\s*$", mask[m.end() : line_end]) else body
+        if body is not None and (0 <= line_end < body) and in_brackets(body) < 0:
+            body = None if not mask[m.end() : line_end].rstrip().endswith(("(", "{", ",")) else body
         found.append(Found(m.start(), m["n"], "method" if m["r"] else "function", body, pairs.get(body, len(mask) - 1) if body is not None else _statement_end(mask, m.end(), pairs)))
     for m in re.finditer(r"(?m)^[ \t]*(?P<k>type|const|var)\s+(?P<g>\()?", mask):
         kind = {"type": "type", "const": "const", "var": "variable"}[m["k"]]
@@ -191,40 +218,44 @@ def _braced(text: str, mask: str, pairs: dict[int, int], ext: str) -> list[Found
     """Java, C# and PHP."""
     found = []
     words = {"java": "class|interface|enum", "cs": "class|interface|enum|struct", "php": "class|interface|trait"}[ext]
-    owners = []
+    owners = set()
     for m in re.finditer(rf"(?<![\w$.@]){_MOD}(?P<k>{words})\s+(?P<n>[\w$]+)", mask):
         body = _opening(mask, m.end(), pairs)
         if body is None:
             continue
         end = pairs.get(body, len(mask) - 1)
-        owners.append((body, end))
+        owners.add(body)
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         found.append(Found(start, m["n"], m["k"], body, end))
+    around = Enclosing(mask, pairs, unclosed=owners)
     if ext == "php":
+        methods = around.within(owners)
         for m in re.finditer(r"(?<![\w$>])(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?\s*(?P<n>\w+)\s*\(", mask):
             body = _opening(mask, m.end() - 1, pairs)
             end = pairs.get(body, len(mask) - 1) if body is not None else _statement_end(mask, m.end(), pairs)
-            found.append(Found(m.start(), m["n"].lstrip("$"), "method" if _inside(owners, m.start()) else "function", body, end))
+            found.append(Found(m.start(), m["n"].lstrip("$"), "method" if around(m.start()) in methods else "function", body, end))
         return found
-    for a, b in owners:
-        head = re.compile(rf"(?<=[;{{}}\n\]])\s*(?P<all>{_MOD}(?:<[^;{{}}()]*>\s*)?(?:{_NOT_NAMES}{_TYPE}\s+)?{_NOT_NAMES}(?P<n>[\w$]+)\s*\()")
-        for m in head.finditer(mask, a + 1, b):
-            if max(x for x in owners if x[0] < m.start("all") < x[1]) != (a, b) or any(a < o < m.start("all") < c for o, c in pairs.items() if mask[o] == "{" and o > a):
-                continue
-            close = pairs.get(m.end() - 1)
-            if close is None:
-                continue
-            body = _opening(mask, close + 1, pairs)
-            if body is None and not re.match(r"\s*(?:throws\s+[\w.,\s]+)?;", mask[close + 1 : close + 200]) and not re.match(r"\s*=>", mask[close + 1 : close + 10]):
-                continue
-            found.append(Found(m.start("all"), m["n"], "method", body, pairs.get(body, len(mask) - 1) if body is not None else _statement_end(mask, close, pairs)))
-        if ext == "cs":
-            for m in re.compile(rf"(?<=[;{{}}\n])\s*(?P<all>{_MOD}{_NOT_NAMES}{_TYPE}\s+(?P<n>\w+)\s*)(?=\{{\s*(?:get|set|init|private|protected|internal)\b|=>)").finditer(mask, a + 1, b):
+    head = re.compile(rf"(?<=[;{{}}\n\]])[^\S\n]*(?P<all>{_MOD}(?:<[^;{{}}()]*>\s*)?(?:{_NOT_NAMES}{_TYPE}\s+)?{_NOT_NAMES}(?P<n>[\w$]+)\s*\()")
+    for m in head.finditer(mask) if owners else ():
+        close = pairs.get(m.end() - 1)
+        if close is None or around(m.start("all")) not in owners:
+            continue
+        body = _opening(mask, close + 1, pairs)
+        if body is None and not _NO_BODY.match(mask, close + 1):
+            continue
+        found.append(Found(m.start("all"), m["n"], "method", body, pairs.get(body, len(mask) - 1) if body is not None else _statement_end(mask, close, pairs)))
+    if ext == "cs":
+        inner = around.within(owners)
+        for m in re.finditer(rf"(?<=[;{{}}\n])[^\S\n]*(?P<all>{_MOD}{_NOT_NAMES}{_TYPE}\s+(?P<n>\w+)\s*)(?=\{{\s*(?:get|set|init|private|protected|internal)\b|=>)", mask):
+            if around(m.start("all")) in inner:
                 body = _opening(mask, m.end(), pairs)
                 found.append(Found(m.start("all"), m["n"], "variable", None, pairs.get(body, m.end()) if body is not None else _statement_end(mask, m.end(), pairs)))
     return found
 
 
+_NO_BODY = re.compile(r"\s*(?:throws\s+[\w.,\s]+)?;|\s*=>")
+
+
 def _c(text: str, mask: str, pairs: dict[int, int], ext: str) -> list[Found]:
     code = re.sub(r"(?m)^[ \t]*#(?:[^\n\\]|\\.)*", lambda m: re.sub(r"[^\n]", " ", m.group()), mask, flags=re.S)
     found = []
@@ -285,10 +316,13 @@ def _python(text: str) -> list[tuple[str, str, int, int, int, int | None]] | Non
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     rows = []
-    lines = text.split("\n")
+    lines = [x.encode("utf-8", "replace") for x in re.split(r"(?<=\n)|(?<=\r)(?!\n)", text)]  # as the parser counts lines and bytes
 
     def segment(node: ast.AST) -> str:
-        return ast.get_source_segment(text, node) or ""
+        a, b = node.lineno - 1, node.end_lineno - 1
+        if a == b:
+            return lines[a][node.col_offset : node.end_col_offset].decode("utf-8", "replace")
+        return b"".join([lines[a][node.col_offset :], *lines[a + 1 : b], lines[b][: node.end_col_offset]]).decode("utf-8", "replace")
 
     def walk(node: ast.AST, in_class: bool) -> None:
         for child in ast.iter_child_nodes(node):
@@ -305,7 +339,6 @@ def _python(text: str) -> list[tuple[str, str, int, int, int, int | None]] | Non
             walk(child, inside)
 
     walk(tree, False)
-    del lines
     return rows
 
 
@@ -385,6 +418,7 @@ def _toml_keys(text: str) -> list[tuple[str, int, int]]:
     except (ValueError, RecursionError):
         return []
     rows, prefix, skipping, depth, closing = [], "", False, 0, ""
+    named: set[str] = set()
     part = r"(?:[A-Za-z0-9_-]+|\"[^\"\n]*\"|'[^'\n]*')"
     for n, line in enumerate(text.split("\n"), 1):
         if closing:
@@ -399,14 +433,17 @@ def _toml_keys(text: str) -> list[tuple[str, int, int]]:
             skipping, prefix = m[1] == "[[", ".".join(names) + "."
             if not skipping:
                 rows.append((prefix[:-1], n, m.start(2) + 1))
+                named.add(prefix[:-1])
             continue
         m = re.match(rf"\s*({part}(?:\s*\.\s*{part})*)\s*=\s*(.*)", line)
         if m:
             names = [x.strip("\"'") for x in re.findall(part, m[1])]
             if not skipping:
                 for k in range(1, len(names) + 1):
-                    if k == len(names) or not any(r[0] == prefix + ".".join(names[:k]) for r in rows):
-                        rows.append((prefix + ".".join(names[:k]), n, m.start(1) + 1))
+                    key = prefix + ".".join(names[:k])
+                    if k == len(names) or key not in named:
+                        rows.append((key, n, m.start(1) + 1))
+                        named.add(key)
             value = m[2]
             for q in ('"""', "'''"):
                 if value.startswith(q) and q not in value[3:]:
@@ -417,6 +454,7 @@ def _toml_keys(text: str) -> list[tuple[str, int, int]]:
             if value.startswith("{") and not skipping:
                 for k in re.finditer(rf"[{{,]\s*({part})\s*=", value):
                     rows.append((prefix + ".".join(names) + "." + k[1].strip("\"'"), n, m.start(2) + k.start(1) + 1))
+                    named.add(rows[-1][0])
     return rows
 
 
