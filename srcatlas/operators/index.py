@@ -245,6 +245,23 @@ def _identified(base: DataFrame, known: DataFrame, changed: DataFrame, config: C
     return rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in base.dtypes])
 
 
+def overlay(base: DataFrame, created: list[tuple[str, str]], modified: list[tuple[str, str]], removed: list[str], top: int) -> DataFrame:
+    """(file_id, path, text) of a files table with a few changes laid over it, without a job of its own: (path, text) of new and of changed files.
+
+    New files get the ids after `top`, the greatest of the base. For few changes, as they come between two builds: they are part of the plan.
+    """
+    spark, rows = base.sparkSession, base.select("file_id", "path", "text")
+    touched = [p for p, _ in created] + [p for p, _ in modified] + removed
+    result = rows.where(~F.col("path").isin(*touched)) if touched else rows
+    if modified:
+        now = spark.createDataFrame(modified, "path string, text string")
+        result = result.unionByName(rows.where(F.col("path").isin(*[p for p, _ in modified])).select("file_id", "path").join(F.broadcast(now), "path"))
+    if created:
+        new = [(top + i, p, t) for i, (p, t) in enumerate(sorted(created), 1)]
+        result = result.unionByName(spark.createDataFrame(new, "file_id bigint, path string, text string"))
+    return result
+
+
 def merge_postings(base: DataFrame, changed_ids: DataFrame, new: DataFrame) -> DataFrame:
     """A per-file table with the rows of changed files replaced."""
     return _replaced(base, checked_broadcast(changed_ids.select("file_id").distinct()), new)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcatlas.functions.text import ascii_lower, split_lines, trim_unicode
-from srcatlas.plans.runtime import checked_broadcast, spread
+from srcatlas.plans.runtime import checked_broadcast
 
 
 def query_trigrams(query: str) -> list[str]:
@@ -39,7 +39,7 @@ def search(files: DataFrame, query: str, limit: int | None = 20, trigrams: DataF
     needle = F.lit(query.lower())
     # whole texts without the query are dropped before they are split into lines
     hits = (
-        spread(rows).where(F.contains(F.lower("text"), needle) | F.lit(query == ""))
+        rows.where(F.contains(F.lower("text"), needle) | F.lit(query == ""))
         .select("file_id", "path", F.posexplode(split_lines(F.col("text"))).alias("n", "line_text"))
         .where(F.contains(F.lower("line_text"), needle))
         .select("file_id", "path", (F.col("n") + 1).cast("bigint").alias("line"), trim_unicode(F.col("line_text")).alias("text"))

@@ -8,7 +8,7 @@ from collections import OrderedDict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcatlas.functions.policy import resolve_in_root, sensitive_name
+from srcatlas.functions.policy import SNIFFED_BYTES, resolve_in_root, sensitive_name
 from srcatlas.operators import changes as change_ops
 from srcatlas.operators import edit as edit_ops
 from srcatlas.operators import graph, index, reads, reports, usage
@@ -84,12 +84,16 @@ class Project:
             tables = index.load(self.spark, self.folder)
         self.tables = tables
 
-    def refresh(self) -> str:
-        """Compare the tree with what was listed before, and update or rebuild; says which of none, targeted and rebuild it was."""
+    def changed(self) -> tuple[str, list[tuple[str, str]]]:
+        """What has changed in the tree since it was listed: none, targeted with the changes, or rebuild."""
         if not self.root or "signatures" not in self.tables:
-            return "none"
+            return "none", []
         found = change_ops.signature_diff(self.tables["signatures"], signatures(self.spark, self.root))
-        plan, changes = plan_of(found.select("path", "kind", F.lit(0).alias("at_ms")))
+        return plan_of(found.select("path", "kind", F.lit(0).alias("at_ms")))
+
+    def refresh(self) -> str:
+        """Take the changes of the tree into the index, by an update or a rebuild; says which of none, targeted and rebuild it was."""
+        plan, changes = self.changed()
         if plan == "rebuild":
             self.rebuild()
         elif plan == "targeted":
@@ -124,11 +128,26 @@ class Project:
     def search(self, query: str, limit: int | None = 20, fresh: bool = True) -> DataFrame:
         """Through the trigram index if it is on disk; scanning is cheaper than building it for one query.
 
-        A project of a root looks for changes of the tree first, unless it is told not to.
+        A project of a root looks for changes of the tree first, unless it is told not to, and lays them over the index; `refresh` takes
+        them into it.
         """
-        if fresh:
-            self.refresh()
-        return search_ops.search(self.tables["files"], query, limit, self.tables["trigrams"] if self.persisted else None)
+        files, trigrams = self.tables["files"], self.tables["trigrams"] if self.persisted else None
+        plan, changes = self.changed() if fresh else ("none", [])
+        if plan == "rebuild":
+            self.rebuild()
+            files, trigrams = self.tables["files"], self.tables["trigrams"] if self.persisted else None
+        elif plan == "targeted":  # the changed files are read as they are; the index keeps answering for the others
+            return search_ops.search(self._laid_over(changes), query, limit)
+        return search_ops.search(files, query, limit, trigrams)
+
+    def _laid_over(self, changes: list[tuple[str, str]]) -> DataFrame:
+        config, files = load_config(self.root), self.tables["files"]
+        files = files.where("is_utf8") if "is_utf8" in files.columns else files
+        read = {p: row for p, _ in changes if is_source_file(self.root, p, config) and (row := read_file(self.root, p)) is not None and row[3] and b"\x00" not in row[4][:SNIFFED_BYTES]}
+        known = {r["path"] for r in files.where(F.col("path").isin(*read)).select("path").collect()} if read else set()
+        texts = [(p, row[4].decode("utf-8")) for p, row in read.items()]
+        top = self.tables["files"].agg(F.max("file_id")).head()[0] or 0
+        return index.overlay(files, [x for x in texts if x[0] not in known], [x for x in texts if x[0] in known], [p for p, _ in changes if p not in read], top)
 
     def word(self, term: str, limit: int | None = 20) -> DataFrame:
         return search_ops.word(self.tables["files"], self.tables["words"], term, limit)

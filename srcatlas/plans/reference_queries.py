@@ -6,12 +6,19 @@ part or supplier is put together, and the SQL answers from the keys without pars
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcatlas.functions import policy, text
 from srcatlas.operators import changes, edit, graph, imports, index, reads, reports, search, symbols, usage
-from srcatlas.plans.runtime import read
+from srcatlas.sources import state
+from srcatlas.sources import tree as tree_source
+from srcatlas.sources.config import Config
+from srcatlas.plans.runtime import cut, ensure_checkpoint_dir, read, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +41,10 @@ def doc_files(spark: SparkSession, sf: str) -> DataFrame:
     return index.files_from_text(read(spark, sf, "documents"), "doc_id", "text")
 
 
+def dealt_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(doc_files(spark, sf))
+
+
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
     """The files alive at the end, decodable or not."""
     return read(spark, sf, "files").where(F.col("deleted_at").isNull())
@@ -71,10 +82,10 @@ def tree_limit(spark: SparkSession, sf: str) -> DataFrame:
     return source_files(spark, sf).orderBy("path", "file_id").limit(200).select("path", "lines", "bytes", "hash")
 
 
-@query("SELECT file_id, lines, bytes, line_offsets, hash FROM files WHERE is_utf8")
+@query("SELECT file_id, CASE WHEN is_utf8 THEN lines ELSE len(string_split(text, chr(10))) - CASE WHEN text = '' OR suffix(text, chr(10)) THEN 1 ELSE 0 END END AS lines, CASE WHEN is_utf8 THEN bytes ELSE strlen(text) END AS bytes, CASE WHEN is_utf8 THEN line_offsets ELSE (SELECT list(o ORDER BY o) FROM (SELECT unnest([0] || list_filter(list_transform(list_filter(range(1, length(text) + 1), lambda i: text[i] = chr(10)), lambda i: strlen(text[1:i])), lambda o: o < strlen(text))) AS o)) END AS line_offsets, CASE WHEN is_utf8 THEN hash ELSE sha256(text) END AS hash FROM files")
 def file_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes, line counts, offsets and hashes from the text; the table's own columns are the answer."""
-    rows = read(spark, sf, "files").where(F.col("is_utf8"))
+    """Sizes, line counts, offsets and hashes from the text; for decodable files the table's own columns are the answer."""
+    rows = read(spark, sf, "files")
     return index.files_table(rows.select("file_id", "path", "text")).select("file_id", "lines", "bytes", "line_offsets", "hash")
 
 
@@ -112,10 +123,6 @@ def status(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_DOCS}, {_WORDS.format('docs')}, {_TRIGRAMS.format('docs')} SELECT (SELECT count(*) FROM docs) AS files, (SELECT count(DISTINCT term) FROM words_t) AS words, (SELECT count(DISTINCT term) FROM trigrams_t) AS trigrams")
 def saved_index(spark: SparkSession, sf: str) -> DataFrame:
     """The same counts from an index that was saved, found valid by its manifest, and loaded."""
-    import uuid
-
-    from srcatlas.plans.runtime import ensure_checkpoint_dir
-
     f = doc_files(spark, sf)
     folder = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     index.save({"files": index.files_table(f), "words": index.word_postings(f), "trigrams": index.trigram_postings(f)}, folder, {"source": "documents"})
@@ -137,27 +144,27 @@ def _search_sql(q: str, limit: int | None, table: str = "docs", head: str = _DOC
 
 @query(_search_sql("snapshot", None))
 def search_literal(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(doc_files(spark, sf), "Snapshot", None)
+    return search.search(dealt_docs(spark, sf), "Snapshot", None)
 
 
 @query(_search_sql("the index", 20))
 def search_limit(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(doc_files(spark, sf), "the INDEX", 20)
+    return search.search(dealt_docs(spark, sf), "the INDEX", 20)
 
 
 @query(_search_sql("prüft", None))
 def search_unicode_case(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(doc_files(spark, sf), "PRÜFT", None)
+    return search.search(dealt_docs(spark, sf), "PRÜFT", None)
 
 
 @query(_search_sql("no such passage anywhere", None))
 def search_nothing(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(doc_files(spark, sf), "no such passage anywhere", None)
+    return search.search(dealt_docs(spark, sf), "no such passage anywhere", None)
 
 
 @query(_search_sql("", 50))
 def search_every_line(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(doc_files(spark, sf), "", 50)
+    return search.search(dealt_docs(spark, sf), "", 50)
 
 
 @query(_search_sql("return null;", None, "src", _SRC, "AND is_utf8"))
@@ -173,7 +180,7 @@ def search_via_index(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT path || ':' || line || ': ' || text AS value FROM ({_search_sql('second look', None)})")
 def search_formatted(spark: SparkSession, sf: str) -> DataFrame:
-    return search.format_hits(search.search(doc_files(spark, sf), "second look", None))
+    return search.format_hits(search.search(dealt_docs(spark, sf), "second look", None))
 
 
 @query(f"WITH {_DOCS}, {_TRIGRAMS.format('docs')} SELECT file_id FROM trigrams_t WHERE term IN ('sna', 'nap', 'aps', 'psh', 'sho', 'hot') GROUP BY file_id HAVING count(*) = 6")
@@ -222,9 +229,9 @@ def size_literals(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select(k.alias("k"), policy.size_literal(F.concat(k.cast("string"), unit)).alias("bytes"))
 
 
-@query("SELECT file_id, contains(text, chr(0)) AND strpos(text, chr(0)) <= 8192 AS is_binary FROM files WHERE is_utf8")
+@query("SELECT file_id, contains(text, chr(0)) AND strlen(split_part(text, chr(0), 1)) < 8192 AS is_binary FROM files")
 def binary_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "files").where(F.col("is_utf8")).select("file_id", policy.looks_binary(F.encode("text", "UTF-8")).alias("is_binary"))
+    return read(spark, sf, "files").select("file_id", policy.looks_binary(F.encode("text", "UTF-8")).alias("is_binary"))
 
 
 # imports and graph ------------------------------------------------------------------------------------------------------------
@@ -254,15 +261,45 @@ def imports_ruby(spark: SparkSession, sf: str) -> DataFrame:
     return _imports(spark, sf, "rb")
 
 
-@query(_line_import_sql("py", "^(import|from) ", "regexp_replace(t, '^(import|from) ', '')", "x").replace("'x' AS kind", "CASE WHEN t[1] = 'i' THEN 'python_import' ELSE 'python_from_import' END AS kind") + " AND NOT regexp_matches(t, '[{;]')")
+@query(_line_import_sql("py", "^(import|from) ", "regexp_replace(regexp_replace(t, '^(import|from) ', ''), '\\s*[;#].*$', '')", "x").replace("'x' AS kind", "CASE WHEN t[1] = 'i' THEN 'python_import' ELSE 'python_from_import' END AS kind") )
 def imports_python(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the Python files that hold Python, not a copy of another language."""
-    return _imports(spark, sf, "py").where(~F.rlike("module", F.lit("[{;]")))
+    return _imports(spark, sf, "py")
 
 
-@query(_line_import_sql("rs", "^use [^;]*;$", "regexp_replace(regexp_replace(t, '^use ', ''), ';$', '')", "rust_use"))
+@query(_line_import_sql("rs", "^use [^;]*;$", "regexp_replace(regexp_replace(t, '^use ', ''), ';$', '')", "rust_use") + " UNION ALL SELECT file_id, regexp_extract(t, '^(?:pub )?mod (\\w+)', 1), line, 'rust_mod' FROM t WHERE regexp_matches(t, '^(pub )?mod \\w+ ?[;{]')")
 def imports_rust(spark: SparkSession, sf: str) -> DataFrame:
-    return _imports(spark, sf, "rs").where("kind = 'rust_use'")
+    return _imports(spark, sf, "rs")
+
+
+#: Made sources, one per part: (extension, text, rows of (module, line, kind)), {k} the part's key.
+IMPORTING = {
+    "php": ("php", "<?php\nuse App\\A{k};\nuse Lib\\{B, C{k}};\nrequire_once 'lib/x{k}.php';\ninclude('y.php');\n// use Not\\This;\n", [("App\\A{k}", 2, "php_use"), ("Lib\\{B, C{k}}", 3, "php_use"), ("lib/x{k}.php", 4, "php_require"), ("y.php", 5, "php_require")]),
+    "csharp": ("cs", "using System;\n  using N{k}.Inner;\nnamespace X {\n}\n", [("System", 1, "c_sharp_using"), ("N{k}.Inner", 2, "c_sharp_using")]),
+    "cpp": ("hpp", "#include <v{k}>\n#  include no\n#include \"a/b{k}.h\"\n", [("v{k}", 1, "c_include"), ("a/b{k}.h", 3, "c_include")]),
+    "rust_mod": ("rs", "mod a{k};\npub mod b {\n}\npub(crate) mod c{k};\n// mod no;\npub use x::{y,\n  z{k}};\n", [("a{k}", 1, "rust_mod"), ("b", 2, "rust_mod"), ("c{k}", 4, "rust_mod"), ("pub use x::{y,\n  z{k}}", 6, "rust_use")]),
+    "js_literals": ("ts", "import x from './a\\x41{k}';\nimport('./\\u0062{k}');\nconst c = require(`./\\u{63}{k}`);\nimport './o\\'{k}';\nimport bad from './\\07{k}';\nimport t from `./${no}`;\n// import n from './n';\nconst s = \"import q from './q'\";\n", [("./aA{k}", 1, "es_import"), ("./b{k}", 2, "es_import"), ("./c{k}", 3, "common_js_require"), ("./o'{k}", 4, "es_import")]),
+}
+
+
+def _pieces(template: str) -> list[str]:
+    return template.split("{k}")
+
+
+def _imports_query(name: str):
+    ext, template, found = IMPORTING[name]
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        k = F.col("p_partkey").cast("string")
+        body = F.concat(*[x for i, p in enumerate(_pieces(template)) for x in ([k] if i else []) + [F.lit(p)]])
+        return imports.extract_imports(made_files(read(spark, sf, "part"), "p_partkey", F.concat(F.lit("gen/p"), k, F.lit("." + ext)), body)).select("file_id", "module", "line", "kind")
+
+    quoted = lambda text: " || p_partkey || ".join("'" + p.replace("'", "''") + "'" for p in _pieces(text))
+    run.__name__ = f"imports_{name}"
+    return query(" UNION ALL ".join(f"SELECT p_partkey AS file_id, {quoted(module)} AS module, CAST({line} AS BIGINT) AS line, '{kind}' AS kind FROM part" for module, line, kind in found))(run)
+
+
+for _name in IMPORTING:
+    _imports_query(_name)
 
 
 @query(
@@ -428,11 +465,14 @@ def read_range(spark: SparkSession, sf: str) -> DataFrame:
     return reads.read_normal(doc_files(spark, sf), "3-9").select("file_id", "line_no", "text")
 
 
-@query(f"WITH src0 AS (SELECT file_id, substring(text, 1, 100) AS text FROM files WHERE regexp_full_match(text, '[\\x00-\\x7f]*')), {_lines('src0')} SELECT file_id, line AS line_no, text FROM lines")
+_CUT = """cut0 AS (SELECT file_id, text, list_max(list_filter(range(0, 101), lambda i: strlen(substring(text, 1, i)) <= 100)) AS k FROM files WHERE text IS NOT NULL),
+src0 AS (SELECT file_id, substring(text, 1, k) || CASE WHEN k < length(text) AND strlen(substring(text, 1, k)) < 100 THEN chr(65533) ELSE '' END AS text FROM cut0)"""
+
+
+@query(f"WITH {_CUT}, {_lines('src0')} SELECT file_id, line AS line_no, text FROM lines")
 def read_bytes_cap(spark: SparkSession, sf: str) -> DataFrame:
-    """Over the texts of ASCII characters only, of which SQL can cut bytes."""
-    ascii_only = read(spark, sf, "files").where(F.rlike("text", F.lit(r"(?s)\A[\x00-\x7f]*\z")))
-    return reads.read_normal(ascii_only, max_bytes=100).select("file_id", "line_no", "text")
+    """A character cut in two becomes one replacement character."""
+    return reads.read_normal(read(spark, sf, "files"), max_bytes=100).select("file_id", "line_no", "text")
 
 
 def _long_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -469,6 +509,15 @@ def read_compact_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return reads.read_compact(f, none).select("file_id", "line_no", "text")
 
 
+@query(f"""WITH {_LONG} SELECT file_id, CAST(2 AS BIGINT) AS line_no, '' AS text FROM s UNION ALL SELECT file_id, 3, 'def f():' FROM s
+UNION ALL SELECT file_id, CAST(3 + i AS BIGINT), '    x = ' || i FROM s, LATERAL (SELECT unnest(range(1, n + 1)) AS i) WHERE n + 1 <= 20 AND i <= 2
+UNION ALL SELECT file_id, NULL, '    ... body omitted (' || n || ' lines)' FROM s WHERE n + 1 > 20""")
+def read_compact_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines 2 to 5; a notice stays, as no numbered line beyond the range comes before it."""
+    f = _long_functions(spark, sf)
+    return reads.read_compact(f, symbols.extract_symbols(f), "2-5").select("file_id", "line_no", "text")
+
+
 # reports ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -520,7 +569,7 @@ _TEST_LANGUAGE = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{n}'" for e, n in r
 
 @query(
     rf"""WITH {_SRC}, u AS (SELECT file_id, path, ext, text FROM src WHERE is_utf8), {_lines('u')}, t0 AS (SELECT file_id, path, ext, line, {_TRIM.format('text')} AS t FROM lines), t1 AS (SELECT *, lower(t) AS low FROM t0),
-f AS (SELECT *, {_FRAMEWORKS} AS fw, regexp_matches(path, '/(tests|test|__tests__)/') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '^test_|(_test\.rs|_test\.go|_test\.py|\.test\.js|\.test\.ts|\.test\.tsx|\.spec\.js|\.spec\.ts|\.spec\.tsx|test\.java|tests\.cs)$') AS in_path,
+f AS (SELECT *, {_FRAMEWORKS} AS fw, regexp_matches(lower(replace(path, '\\', '/')), '/(tests|test|__tests__)/') OR regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '^test_|(_test\.rs|_test\.go|_test\.py|\.test\.js|\.test\.ts|\.test\.tsx|\.spec\.js|\.spec\.ts|\.spec\.tsx|test\.java|tests\.cs)$') AS in_path,
   starts_with(t, 'assert ') OR contains(t, ' assert ') OR contains(t, 'assert!(') OR contains(t, 'assert_eq!(') OR contains(t, 'assert_ne!(') OR contains(t, 'expect(') OR contains(t, 'assertThat(') OR contains(low, 'assert_') OR contains(low, 'require.') AS a FROM t1),
 g AS (SELECT *, min(CASE WHEN len(fw) > 0 THEN line END) OVER (PARTITION BY file_id) AS first FROM f)
 SELECT path, {_TEST_LANGUAGE} AS language, coalesce(list_sort(list_distinct(flatten(list(fw)))), []) AS frameworks, CAST(count_if(a AND (in_path OR coalesce(line >= first, FALSE))) AS BIGINT) AS assertions FROM g GROUP BY file_id, path, ext, in_path HAVING in_path OR max(len(fw)) > 0"""
@@ -573,6 +622,25 @@ for _dimension in ("total", "mode", "level", "parser", "savings_source"):
     _gain_query(_dimension)
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'compact' WHEN event_id % 4 = 1 THEN 'aggressive' WHEN event_id % 3 = 0 AND event_id % 5 = 0 THEN 'line_range_and_byte_cap' WHEN event_id % 3 = 0 THEN 'line_range' WHEN event_id % 5 = 0 THEN 'byte_cap' ELSE 'full_read' END AS savings_source FROM events""")
+def savings_sources(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    level = F.when(k % 4 == 0, "compact").when(k % 4 == 1, "aggressive").otherwise("normal")
+    return read(spark, sf, "events").select("event_id", usage.savings_source(level, k % 3 == 0, k % 5 == 0).alias("savings_source"))
+
+
+@query(f"WITH {_USAGE} SELECT mode, count(*) AS events, CAST(sum(bytes_raw) AS BIGINT) AS bytes_raw FROM u GROUP BY ALL")
+def usage_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The events appended to a log, between lines that are none, and read back."""
+    folder = f"{ensure_checkpoint_dir(spark)}/usage-{uuid.uuid4().hex}"
+    rows = usage_rows(spark, sf)
+    state.append_usage(rows, folder)
+    broken = F.concat(F.lit('{"mode": "cli", "bytes_raw": '), F.when(F.col("s_suppkey") % 2 == 0, "7}").otherwise('"x"'))
+    read(spark, sf, "supplier").select(broken.alias("value")).write.mode("append").text(folder)
+    log = state.read_usage(spark, folder)
+    return log.groupBy(F.when(F.trim(F.coalesce("mode", F.lit(""))) == "", "unknown").otherwise(F.col("mode")).alias("mode")).agg(F.count(F.lit(1)).alias("events"), F.sum("bytes_raw").alias("bytes_raw"))
+
+
 # changes ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -614,35 +682,82 @@ def incremental_merge(spark: SparkSession, sf: str) -> DataFrame:
     return index.document_frequency(index.merge_postings(index.word_postings(stale), changed, index.word_postings(changed)))
 
 
-@query(f"WITH {_DOCS} SELECT path, sha256(text) AS hash FROM docs")
+def _moved(path: Column, k: Column) -> Column:
+    """Every fifth path in a folder or under a name that is not indexed."""
+    return F.when(k % 10 == 5, F.concat(F.lit("node_modules/"), path)).when(k % 10 == 0, F.concat(F.lit("x/.env."), k.cast("string"))).otherwise(path)
+
+
+@query(f"WITH {_DOCS} SELECT path, sha256(text) AS hash FROM docs WHERE file_id % 5 <> 0 OR file_id % 2 = 1 AND file_id % 10 <> 5 UNION ALL SELECT path, sha256(text) FROM docs WHERE file_id % 2 = 1 AND file_id % 10 = 5")
 def upsert_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the files are old, the other half created or changed; some of the changed paths are not eligible, which removes what was there."""
     f = doc_files(spark, sf)
-    base = f.where(F.col("file_id") % 2 == 1).unionByName(f.where(F.col("file_id") % 4 == 0).select("file_id", "path", F.lit("old").alias("text")))
-    return index.upsert_files(base, f.where(F.col("file_id") % 2 == 0).select("path", "text")).select("path", F.sha2("text", 256).alias("hash"))
+    k = F.col("file_id")
+    path = F.when(k % 2 == 0, _moved(F.col("path"), k)).otherwise(F.col("path"))
+    placed = f.withColumn("path", path)
+    base = f.where(k % 2 == 1).unionByName(placed.where(k % 4 == 0).select("file_id", "path", F.lit("old").alias("text")))
+    return index.upsert_files(base, placed.where(k % 2 == 0).select("path", "text"), Config(max_file_size=1 << 40)).select("path", F.sha2("text", 256).alias("hash"))
+
+
+_MODULES = "t AS (SELECT s_suppkey AS k, s_suppkey % 10 AS d FROM supplier)"
+
+
+@query(f"""WITH {_MODULES} SELECT 'src/m' || k || '.js' AS path, './d' || d AS module, CASE WHEN d % 3 = 1 THEN 'src/d' || d || '/index.js' WHEN d % 3 = 2 THEN 'src/d' || d || '.ts' ELSE 'src/d' || d || '.js' END AS resolved_path FROM t""")
+def reindex(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules import one of ten targets; a change removes some (the folder's index takes over), and creates better ones for others, beside files that are never indexed."""
+    k, t = F.col("s_suppkey").cast("string"), F.col("i").cast("string")
+    users = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("file_id"), F.concat(F.lit("src/m"), k, F.lit(".js")).alias("path"), F.concat(F.lit("import x from './d"), (F.col("s_suppkey") % 10).cast("string"), F.lit("';\n")).alias("text"))
+    ten = spark.range(10).select(F.col("id").alias("i"))
+    target = lambda end, start: ten.select((F.lit(start) + F.col("i")).cast("bigint").alias("file_id"), F.concat(F.lit("src/d"), t, F.lit(end)).alias("path"), F.lit("1;").alias("text"))
+    base = users.unionByName(target(".js", 1_000_000_000).where("file_id % 10 <> 2 and file_id % 10 <> 5 and file_id % 10 <> 8")).unionByName(target("/index.js", 1_000_000_100)).unionByName(target(".tsx", 1_000_000_200).where("file_id % 10 = 2"))
+    tables = {name: cut(df) for name, df in index.build(base).items() if name in ("files", "imports", "edges")}
+    created = target(".ts", 0).where("file_id % 3 = 2").select("path", "text").unionByName(ten.select(F.concat(F.lit("node_modules/d"), t, F.lit(".js")).alias("path"), F.lit("1;").alias("text")))
+    removed = target(".js", 0).where("file_id % 3 = 1").select("path")
+    return index.apply_changes(tables, created, removed)["imports"].select("path", "module", "resolved_path")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 9 AS f FROM customer) SELECT CASE f WHEN 0 THEN 'a/b' || (k % 7) || '/t' || k || '.txt' WHEN 1 THEN 'keep' || k || '.log' ELSE 't' || k || '.py' END AS path, CAST(length('customer ' || k) AS BIGINT) AS bytes FROM c WHERE f IN (0, 1, 2)""")
+def tree_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A tree with one file per customer, a third of them eligible: the others are hidden, generated, sensitive, too large, ignored or binary."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tree-{uuid.uuid4().hex}".removeprefix("file:")
+    forms = ["'a/b' || k7 || '/t' || k || '.txt'", "'keep' || k || '.log'", "'t' || k || '.py'", "'.h/t' || k", "'dist/t' || k || '.js'", "'c/secrets' || k || '.txt'", "'big' || k || '.txt'", "'a/t' || k || '.log'", "'bin' || k || '.dat'"]
+    path = F.expr("CASE f " + " ".join(f"WHEN {i} THEN {e}" for i, e in enumerate(forms)) + " END")
+    body = F.concat(F.lit("customer "), F.col("k"))
+    rows = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("k"), (F.col("c_custkey") % 7).cast("string").alias("k7"), (F.col("c_custkey") % 9).alias("f"))
+    text = F.when(F.col("f") == 6, F.repeat(body, 20)).when(F.col("f") == 8, F.concat(body, F.lit("\x00"))).otherwise(body)
+    written = rows.select(path.alias("path"), text.alias("text")).mapInPandas(partial(_write_files, folder=folder), "path string")
+    written.unionByName(spark.createDataFrame([(".gitignore", "*.log\n!keep*.log\n")], "path string, text string").mapInPandas(partial(_write_files, folder=folder), "path string")).count()
+    found = index.files_from_scan(tree_source.scan(spark, folder, max_file_size=100)).select("path", "bytes")
+    return cut(found)
+
+
+def _write_files(batches, folder: str):
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["text"]):
+            full = os.path.join(folder, path)
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as f:
+                f.write(content.encode())
+        yield pdf[["path"]]
 
 
 # edits ------------------------------------------------------------------------------------------------------------------------
 
-_LF = "lf AS (SELECT doc_id AS file_id, text, string_split(text, chr(10)) AS p0 FROM documents WHERE text IS NOT NULL AND text <> ''), d AS (SELECT file_id, text, p0[len(p0)] = '' AS ended, CASE WHEN p0[len(p0)] = '' THEN p0[1:len(p0) - 1] ELSE p0 END AS p FROM lf)"
-
-
-def _edit_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return doc_files(spark, sf).where(F.col("text") != "")
+_LF = "lf AS (SELECT doc_id AS file_id, text, string_split(text, chr(10)) AS p0 FROM documents WHERE text IS NOT NULL), d AS (SELECT file_id, text, p0[len(p0)] = '' AS ended, CASE WHEN p0[len(p0)] = '' THEN p0[1:len(p0) - 1] ELSE p0 END AS p FROM lf)"
 
 
 @query(f"WITH {_LF} SELECT file_id, array_to_string(p[1:1] || ['new a', 'new b'] || p[4:], chr(10)) || CASE WHEN len(p) > 3 AND NOT ended THEN '' ELSE chr(10) END AS text FROM d WHERE len(p) >= 3")
 def edit_replace(spark: SparkSession, sf: str) -> DataFrame:
-    return edit.edit_column(_edit_docs(spark, sf), "replace", 2, 3, "new a\nnew b\n").select("file_id", "text")
+    return edit.edit_column(doc_files(spark, sf), "replace", 2, 3, "new a\nnew b\n").select("file_id", "text")
 
 
-@query(f"WITH {_LF} SELECT file_id, array_to_string(p[1:1] || ['put in'] || p[2:], chr(10)) || CASE WHEN len(p) > 1 AND NOT ended THEN '' ELSE chr(10) END AS text FROM d")
+@query(f"WITH {_LF} SELECT file_id, array_to_string(p[1:1] || ['put in'] || p[2:], chr(10)) || CASE WHEN len(p) > 1 AND NOT ended THEN '' ELSE chr(10) END AS text FROM d WHERE len(p) >= 1")
 def edit_insert(spark: SparkSession, sf: str) -> DataFrame:
-    return edit.edit_column(_edit_docs(spark, sf), "insert", 2, None, "put in\n").select("file_id", "text")
+    return edit.edit_column(doc_files(spark, sf), "insert", 2, None, "put in\n").select("file_id", "text")
 
 
 @query(f"WITH {_LF} SELECT file_id, CASE WHEN len(p) = 2 THEN '' ELSE array_to_string(p[3:], chr(10)) || CASE WHEN ended THEN chr(10) ELSE '' END END AS text FROM d WHERE len(p) >= 2")
 def edit_delete(spark: SparkSession, sf: str) -> DataFrame:
-    return edit.edit_column(_edit_docs(spark, sf), "delete", 1, 2).select("file_id", "text")
+    return edit.edit_column(doc_files(spark, sf), "delete", 1, 2).select("file_id", "text")
 
 
 # streaming --------------------------------------------------------------------------------------------------------------------
@@ -651,9 +766,6 @@ def edit_delete(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, count(*) AS n, CAST(count_if(event_type = 'error') AS BIGINT) AS n_errors FROM events GROUP BY user_id")
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Events drained as a stream into a table, each batch merged once, then counted: equal to the batch result."""
-    import uuid
-
-    from srcatlas.plans.runtime import ensure_checkpoint_dir
     from srcatlas.streaming.watch import merge_stream
 
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
