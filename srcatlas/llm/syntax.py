@@ -60,8 +60,7 @@ class Language:
         text = self.lexical.sub(self.lexed, text.replace("\r\n", "\n"))
         text = self.digits.sub("0", self.plain.sub("a", text))
         text = re.sub(r"[ \t\r\f\v]+", " ", text)
-        text = re.sub(r" ?\n[ \n]*", "\n", text)
-        return re.sub(r"(?:(?<=[\[{(,\n])(?:[-+] ?)?0,[ \n]?){3,}", "0,", text)  # a long list of numbers is a list of numbers
+        return re.sub(r" ?\n[ \n]*", "\n", text)
 
     def first_error(self, text: str) -> str | None:
         """None if the text parses, else the token at which it cannot go on ('' at its end)."""
@@ -98,6 +97,9 @@ class Language:
 class Inserting(Language):
     """Languages in which a line end, } or the end may stand for a semicolon where nothing else parses."""
 
+    #: What never goes on with the line before if a semicolon may stand there.
+    restricted = frozenset(("++", "--"))
+
     def first_error(self, text: str) -> str | None:
         r = self.recogniser
         r.trim()
@@ -128,9 +130,10 @@ class Inserting(Language):
                 line = True
                 continue
             after = r.step(config, token)
-            if after == r.stuck and (line or token == "}"):
+            if after == r.stuck and (line or token == "}") or line and token in self.restricted:
                 ended = r.step(config, ";")
-                after = r.step(ended, token) if ended != r.stuck else ended
+                apart = r.step(ended, token) if ended != r.stuck else ended
+                after = after if apart == r.stuck else apart
             if after == r.stuck:
                 return token
             config, line = after, False
@@ -150,6 +153,13 @@ class JavaScript(Inserting):
         if "type" not in self.recogniser.tokens:
             raise ValueError("grammar")
 
+    def shape(self, text: str) -> str:
+        return _NO_VALUE.sub(f"const a {BAD}", super().shape(text))
+
+
+#: A constant without a value.
+_NO_VALUE = re.compile(r"(?<![\w$.])const a ?;")
+
 
 class TypeScript(JavaScript):
     grammar = grammars.TS
@@ -160,6 +170,10 @@ class TypeScript(JavaScript):
         return self.grammar.replace("| 'let_'", "| 'namespace' | 'module' | 'declare' | 'abstract' | 'readonly' | 'override' | 'keyof' | 'infer' | 'is' | 'asserts' | 'satisfies' | 'public' | 'private' | 'protected' | 'interface' | 'implements'")
 
 
+    def shape(self, text: str) -> str:
+        return Language.shape(self, text)  # a declared constant has no value
+
+
 class Java(Language):
     grammar = grammars.JAVA
     strings = rf'"""(?:[^"\\]|\\.|"(?!""))*"""|{_DQ}|\'(?:[^\'\\\n]|\\u+[\dA-Fa-f]{{4}}|\\[0-7]{{1,3}}|\\.)\''
@@ -215,6 +229,10 @@ class Rust(Language):
         return super().shape(text).replace("\\life", "life").replace("$a", "a")
 
 
+#: The name of a class or module that does not begin with a capital.
+_SMALL_CONSTANT = re.compile(r"((?<![\w.:@$])(?:class|module)[ \t]+)[a-z_]\w*(?![\w:.])")
+
+
 class Ruby(Language):
     grammar = grammars.RUBY
     strings = (
@@ -234,13 +252,13 @@ class Ruby(Language):
     def shape(self, text: str) -> str:
         text = self.lexical.sub(self.lexed, text.replace("\r\n", "\n"))
         text = re.sub(r"\n__END__\n.*", "\n", text, flags=re.S)
+        text = _SMALL_CONSTANT.sub(lambda m: m.group(1) + BAD, text)
         text = self.label.sub("\\\\L ", text)
         text = self.digits.sub("0", self.plain.sub("a", text)).replace("\\L", "L")
         text = re.sub(r"[ \t\r\f\v]+", " ", text.replace("\\\n", " "))
         text = re.sub(r" ?\n[ \n]*", "\n", text)
         text = re.sub(r"(?<=[,(\[+*/=&.<-])\n|(?<=\|\|)\n|(?<=&&)\n", " ", text)
-        text = re.sub(r"\n(?=\.a|&\.|[\])])", " ", text)
-        return re.sub(r"(?:(?<=[\[{(,])(?: ?(?:[-+] ?)?0),){3,}", "0,", text)
+        return re.sub(r"\n(?=\.a|&\.|[\])])", " ", text)
 
     def run(self, config: int, segment: str) -> int | str:
         r = self.recogniser
@@ -282,7 +300,7 @@ class Indented(Language):
     def first_error(self, text: str) -> str | None:
         r = self.recogniser
         r.trim()
-        config, depth, stack = r.start, 0, [0]
+        config, depth, stack, narrows = r.start, 0, [0], [0]  # widths of the indentation with tabs of eight and of one
         any_line = False
         depths: dict[str, int] = {}
         for line in self.indented(text).split("\n"):
@@ -290,22 +308,35 @@ class Indented(Language):
             if not shape:
                 continue
             if not depth and not self.joined(any_line):
-                head = line[: len(line) - len(line.lstrip(" \t\f"))].expandtabs(8)
-                width = len(head)
+                head = line[: len(line) - len(line.lstrip(" \t\f"))].rpartition("\f")[2]
+                width, narrow = len(head.expandtabs(8)), len(head)
+                if (width > stack[-1]) != (narrow > narrows[-1]) or width == stack[-1] and narrow != narrows[-1]:
+                    while len(stack) > 1 and width < stack[-1]:  # what remains must agree in both readings of a tab
+                        stack.pop()
+                        narrows.pop()
+                        config = self.advance(config, "\x04", [self.leave])
+                        if isinstance(config, str):
+                            return config
+                    if width != stack[-1] or narrow != narrows[-1]:
+                        return shape[:1]
                 if width > stack[-1]:
                     if not any_line:
                         return shape[:1]
                     stack.append(width)
+                    narrows.append(narrow)
                     config = self.advance(config, "\x03", [self.enter])
                     if isinstance(config, str):
                         return config
                 while width < stack[-1]:
                     stack.pop()
+                    narrows.pop()
                     if width > stack[-1]:
                         return shape[:1]
                     config = self.advance(config, "\x04", [self.leave])
                     if isinstance(config, str):
                         return config
+                if narrow != narrows[-1]:
+                    return shape[:1]
             any_line = True
             more = depths.get(shape)
             if more is None:
@@ -341,8 +372,89 @@ class Python(Indented):
     comments = r"\#[^\n]*"
     words = "def class if elif else for while try except finally with as import from return raise pass break continue del global nonlocal assert yield lambda in is not and or async await match case type"
     name = r"[^\W\d]\w*"
+    number = r"(?:0[xX](?:_?[\dA-Fa-f])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:\.(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ])|0(?:_?0)*|[1-9](?:_?\d)*)(?!\w)"
     operators = "**= //= >>= <<= ... := -> += -= *= /= %= @= &= |= ^= ** // << >> <= >= == !="
 
+    def indented(self, text: str) -> str:
+        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        parts, at = [], 0
+        while m := self.lexical.search(text, at):
+            if m.lastgroup == "s" and "f" in m.group()[:2].lower().partition('"')[0].partition("'")[0]:
+                end = _template_end(text, m.start())
+                parts += [text[at : m.start()], '"' if end else BAD]
+                at = end or m.end()
+            else:
+                parts += [text[at : m.start()], self.lexed(m)]
+                at = m.end()
+        parts.append(text[at:])
+        # a number that goes on as a word is one only before a keyword
+        bare = _GLUED.sub(r"\1 \2", self.plain.sub("a", "".join(parts)))
+        return _NO_NUMBER.sub(BAD, self.digits.sub("0", bare))
+
+    def line_shape(self, line: str) -> str:
+        shape = super().line_shape(line)
+        return shape.replace("=", BAD, 1) if _LITERAL_TARGET.match(shape) else shape
+
+
+_GLUED = re.compile(r"(?<![\w.])(\d+)(and|or|if|else|in|is|for|not)(?!\w)")
+_NO_NUMBER = re.compile(r"(?<![\w$])\d[\d\w]+")
+#: A statement that gives a literal a value.
+_LITERAL_TARGET = re.compile(r"(?:0|\"|None|True|False) ?=(?!=)")
+_FIELD_STRING = re.compile(r"(?:[fF][rR]?|[rR][fF])?(\"\"\"|'''|\"|')")
+
+
+def _template_end(text: str, start: int) -> int | None:
+    """Behind the end of the f-string that begins at start, whose fields may hold strings again; None if it or a field is not closed."""
+    opening = _FIELD_STRING.match(text, start)
+    quote, raw = opening.group(1), "r" in opening.group().lower()
+    at, depth = opening.end(), 0
+    while at < len(text):
+        c = text[at]
+        if not depth:
+            if text.startswith(quote, at):
+                return at + len(quote)
+            if c == "\n" and len(quote) == 1:
+                return None
+            if c in "{}" and text[at + 1 : at + 2] == c:
+                at += 2
+            elif c == "}":
+                return None
+            elif c == "\\" and (not raw or text[at + 1 : at + 2] not in "{}"):
+                at += text.index("}", at) + 1 - at if text.startswith("\\N{", at) and "}" in text[at:] else 2
+            else:
+                depth += c == "{"
+                at += 1
+            continue
+        if c in "\"'":
+            prefix = at
+            while prefix > start and text[prefix - 1] in "fFrRbBuU" and at - prefix < 2:
+                prefix -= 1
+            plain = _PLAIN_STRING.match(text, at)
+            end = _template_end(text, prefix) if "f" in text[prefix:at].lower() else plain.end() if plain else None
+            if end is None:
+                return None
+            at = end
+        elif c in "([{":
+            depth += 1
+            at += 1
+        elif c in ")]}":
+            depth -= 1
+            at += 1
+        elif c == ":" and depth == 1:  # a format, which may hold fields again
+            at += 1
+            inner = 0
+            while at < len(text) and (inner or text[at] != "}"):
+                if text[at] == "\n" and len(quote) == 1 or text.startswith(quote, at) and not inner:
+                    return None
+                inner += (text[at] == "{") - (text[at] == "}")
+                at += 1
+        else:
+            at += 1
+    return None
+
+
+_PLAIN_STRING = re.compile(r"\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'", re.S)
+
 
 class Yaml(Indented):
     grammar = grammars.YAML
