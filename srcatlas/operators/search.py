@@ -9,6 +9,10 @@ from srcatlas.functions.text import ascii_lower, split_lines, trim_unicode
 from srcatlas.plans.runtime import checked_broadcast
 
 
+#: Candidate files up to which they are named in the plan instead of joined.
+FEW_CANDIDATES = 1000
+
+
 def query_trigrams(query: str) -> list[str]:
     q = query.lower()
     return sorted({q[i : i + 3] for i in range(len(q) - 2) if all(" " <= c <= "~" for c in q[i : i + 3])})
@@ -35,7 +39,11 @@ def search(files: DataFrame, query: str, limit: int | None = 20, trigrams: DataF
         return rows.select("file_id", "path", F.lit(0).cast("bigint").alias("line"), "text").limit(0)
     candidates = candidate_files(query, trigrams) if trigrams is not None else None
     if candidates is not None:
-        rows = rows.join(checked_broadcast(candidates), "file_id", "left_semi")
+        some = candidates.limit(FEW_CANDIDATES + 1).collect()
+        if len(some) <= FEW_CANDIDATES:  # a filter that reaches the scan: saved files lie in the order of their ids
+            rows = rows.where(F.col("file_id").isin(*[r["file_id"] for r in some]) if some else F.lit(False))
+        else:
+            rows = rows.join(checked_broadcast(candidates), "file_id", "left_semi")
     needle = F.lit(query.lower())
     # whole texts without the query are dropped before they are split into lines
     hits = (
