@@ -20,7 +20,7 @@ from srcatlas.plans.runtime import spread
 
 #: The pattern that cuts texts before the merges, fixed by the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Widths of the padded matrices; longer pieces are merged one by one with a heap.
+#: Widths of the padded matrices; longer pieces are merged one by one with a heap, for a row of w bytes costs w rounds of w columns.
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 #: Pieces kept encoded per worker, and rows of a matrix at a time.
 CACHE, ROWS = 300_000, 65_536
@@ -195,15 +195,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         for s in range(0, batch.num_rows, 256):
             part = batch.slice(s, 256)
-            rows = pairs.encode_batch(part.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            rows = pairs.encode_batch(part.column("text").to_pylist())
+            kept = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(rows, pa.list_(pa.int32()))], names=[*kept, "ids"])
 
 
-def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids): every document's token ids, without special tokens.
+def token_ids(documents: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, ids): every document's token ids, without special tokens, beside the columns to `keep`.
 
     Strings that look like special tokens are ordinary text. Null and empty texts give an empty list. Every row gives a row,
     repeated or null doc_ids included; other columns are ignored.
     """
-    rows = spread(documents.select("doc_id", "text"))
-    return rows.mapInArrow(partial(_encode, path=path or vocabulary_path()), "doc_id bigint, ids array<int>")
+    rows = documents.select("doc_id", *keep, "text")
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
+    return spread(rows).mapInArrow(partial(_encode, path=path or vocabulary_path()), f"{schema}, ids array<int>")

@@ -133,7 +133,7 @@ def file_evidence(path: str | None, ext: str | None, text: str | None) -> list[f
     if longest > 200 and size > 300:
         spaces = bare.count(" ") / len(bare)
         e[2] += 14.0 if longest > 400 or spaces < 0.08 else 8.0
-        if "sourceMappingURL=" in text[-300:]:
+        if "sourceMappingURL=" in text:
             e[2] += 2.0
     if _MIN_NAME.search(name):
         e[2] += 1.0

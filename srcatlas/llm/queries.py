@@ -50,9 +50,8 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_tokens_by_source(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read(spark, sf, "documents")
-    sizes = bpe.token_ids(docs).select("doc_id", F.size("ids").cast("bigint").alias("n"))
-    return docs.select("doc_id", "source").join(sizes, "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
+    sizes = bpe.token_ids(read(spark, sf, "documents"), keep=("source",)).select("source", F.size("ids").cast("bigint").alias("n"))
+    return sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
