@@ -442,6 +442,32 @@ def symbols_yaml_sources(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.yaml_keys(source_files(spark, sf)).select("file_id", "name", "line")
 
 
+#: Declarations that a line shows by itself: (extensions, kinds, the line's beginning with the name as the last group).
+LINE_DECLARED = {
+    "python": (("py",), ("function", "method", "class"), r"^[ \t]*(?:async +)?(?:def|class) +(\w+)"),
+    "go": (("go",), ("function", "method"), r"^func +(?:\([^)]*\) *)?(\w+)"),
+    "ruby": (("rb",), ("function", "class", "module"), r"^[ \t]*(?:def|class|module) +(?:self\.)?([A-Za-z_]\w*(?:::\w+)*[?!=]?)"),
+    "rust": (("rs",), ("struct", "enum", "trait"), r"^[ \t]*(?:pub(?:\([^)]*\))? +)?(?:struct|enum|trait) +(\w+)"),
+    "java": (("java",), ("class", "interface", "enum"), r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed) +)*(?:class|interface|enum) +(\w+)"),
+    "js": (("js", "ts"), ("class",), r"^[ \t]*(?:export +)?(?:default +)?class +([\w$]+)"),
+}
+
+
+def _line_declared_query(language: str):
+    exts, kinds, beginning = LINE_DECLARED[language]
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return symbols.extract_symbols(source_files(spark, sf).where(F.col("ext").isin(*exts))).where(F.col("kind").isin(*kinds)).select("file_id", "name", "line")
+
+    run.__name__ = f"symbols_{language}_sources"
+    some = ", ".join(f"'{e}'" for e in exts)
+    return query(f"WITH src AS (SELECT * FROM files WHERE deleted_at IS NULL AND ext IN ({some})), {_lines('src')} SELECT file_id, regexp_extract(text, '{beginning}', 1) AS name, line FROM lines WHERE regexp_matches(text, '{beginning}')")(run)
+
+
+for _language in LINE_DECLARED:
+    _line_declared_query(_language)
+
+
 @query("SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'A7', 'class'), (1, 'm', 'method'), (2, 'f7', 'function'), (3, 'y', 'variable'), (4, 'Z7', 'variable')) t(ord, name, kind)")
 def outline(spark: SparkSession, sf: str) -> DataFrame:
     return symbols.outline(symbols.extract_symbols(made_sources(spark, sf, "python")), "gen/p7.py").select("ord", "name", "kind")
