@@ -36,6 +36,8 @@ FEW = 5
 GAP = 0.9
 #: Parts of an item that are looked at apart when its words are frequent because of its own leaks.
 PARTS = 3
+#: A word is an item's own if no more than this share of the items, or one, have it.
+OWN_SHARE = 0.01
 #: Bits of the filter that keeps words from being joined which no item asks for: of fixed size, whatever the number of items.
 FILTER_BITS = 1 << 22
 
@@ -110,11 +112,12 @@ class Item:
         return False
 
 
-def ranked(text: str, docs_with: dict[str, int], leaks_with: dict[str, int], limit: float) -> tuple[list[str], list[str], list[str], int, list[str]]:
+def ranked(text: str, docs_with: dict[str, int], leaks_with: dict[str, int], own: set[str], limit: float) -> tuple[list[str], list[str], list[str], int, list[str]]:
     """(rare words by rarity, inner ones, necessary prefix, rare words needed, words to look at for the item's own leaks) of one item.
 
-    A word is rare if at most `limit` documents hold it that do not hold half of the item. The last are the FEW rarest words of each
-    part of the item without a rare word: a part that leaked often has made its own words frequent.
+    A word is rare if at most `limit` documents hold it that do not hold half of the item. The last are, for each part of the item
+    without two rare words, the FEW rarest of its words that are its `own`, hardly any other item having them: a part that leaked
+    often has made its own words frequent. Before each stand the part's number and how many of its words a document must hold.
     """
     w = words(text)
     elsewhere = {x: docs_with.get(x, 0) - leaks_with.get(x, 0) for x in w}
@@ -124,7 +127,8 @@ def ranked(text: str, docs_with: dict[str, int], leaks_with: dict[str, int], lim
     for k in range(PARTS):
         part = set(w[len(w) * k // PARTS : len(w) * (k + 1) // PARTS])
         if part and len(part & held) < 2:
-            suspects += [x for x in ordered if x in part][:FEW]
+            some = [x for x in ordered if x in part & own][:FEW]
+            suspects += [f"{k}:{len(some) // 2 + 1} {x}" for x in some]
     if len(rare) < FEW:  # an item of everyday words: its rarest ones, however frequent
         ordered.sort(key=lambda x: (elsewhere[x], x))
         rare = ordered[: max(FEW, len(ordered) // 4)]
@@ -132,7 +136,7 @@ def ranked(text: str, docs_with: dict[str, int], leaks_with: dict[str, int], lim
     # rare words between the opening and the closing sentence: those two alone are no leak
     middle = {x for sentence in _SENTENCE.split(_MARKUP.sub(" ", text).strip())[1:-1] for x in words(sentence)}
     # any document with `need` rare words holds one of the rarest so many
-    return rare, [x for x in rare if x in middle], rare[: len(rare) - need + 1], need, list(dict.fromkeys(suspects))
+    return rare, [x for x in rare if x in middle], rare[: len(rare) - need + 1], need, suspects
 
 
 _RANKED = "item_key bigint, item_id bigint, words array<string>, rare array<string>, inner array<string>, prefix array<string>, need int, suspects array<string>"
@@ -145,7 +149,7 @@ def _rank(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.Record
         rows = []
         for key, item_id, text, counts in zip(*(batch.column(c).to_pylist() for c in ("item_key", "item_id", "text", "counts"))):
             docs_with, leaks_with = ({x["word"]: x[c] or 0 for x in counts or ()} for c in ("n", "leaks"))
-            rare, inner, prefix, need, suspects = ranked(text, docs_with, leaks_with, limit)
+            rare, inner, prefix, need, suspects = ranked(text, docs_with, leaks_with, {x["word"] for x in counts or () if x["own"]}, limit)
             rows.append((key, item_id, words(text), rare, inner, prefix, need, suspects))
         columns = zip(*rows) if rows else [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), lists, lists, lists, lists, pa.int32(), lists))], names=names)
@@ -232,15 +236,20 @@ def _judge(batches: Iterator[pa.RecordBatch], leaks: bool) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(third, pa.string() if leaks else pa.int64())], names=["doc_id", "item_key", "word" if leaks else "item_id"])
 
 
-def _joined(docs: DataFrame, items: DataFrame, by: str) -> DataFrame:
-    """(doc_id, text, items): documents with the items of which they hold a word in the list `by`, and half as many words.
+def _joined(docs: DataFrame, items: DataFrame, suspects: bool = False) -> DataFrame:
+    """(doc_id, text, items): documents with the items of which they hold a prefix word, or most of a part's suspects, and half as many words.
 
     Documents' words that no item asks for are dropped before the join; a word of many documents is split by Spark at run time.
     """
-    asked = items.select("item_key", (F.size("words") * WORDS_SHARE).alias("least"), F.explode(by).alias("word"))
+    words_of = F.explode("suspects" if suspects else "prefix").alias("asked")
+    asked = items.select("item_key", (F.size("words") * WORDS_SHARE).alias("least"), words_of)
+    asked = asked.select("item_key", "least", F.substring_index("asked", " ", 1).alias("part"), F.substring_index("asked", " ", -1).alias("word"))
     found = docs.mapInArrow(partial(_document_words, bits=_bits_of(asked)), "doc_id bigint, word string, n_words bigint")
-    pairs = found.join(asked, "word").where(F.col("n_words") >= F.col("least")).select("doc_id", "item_key").distinct()
-    lists = pairs.join(items.select("item_key", "item_id", "words", "rare", "inner", "need"), "item_key").groupBy("doc_id").agg(F.collect_list(F.struct("item_key", "item_id", "words", "rare", "inner", "need")).alias("items"))
+    pairs = found.join(asked, "word").where(F.col("n_words") >= F.col("least"))
+    if suspects:
+        pairs = pairs.groupBy("doc_id", "item_key", "part").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= F.substring_index("part", ":", -1).cast("int"))
+    one = F.struct("item_key", "item_id", "words", "rare", "inner", "need")
+    lists = pairs.select("doc_id", "item_key").distinct().join(items.select("item_key", one.alias("item")), "item_key").groupBy("doc_id").agg(F.collect_list("item").alias("items"))
     return docs.join(lists, "doc_id").select("doc_id", "text", "items")
 
 
@@ -257,18 +266,21 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     counts = cut(counted.join(item_words.select("word").distinct().union(documents.sparkSession.createDataFrame([("",)], "word string")), "word", "left_semi"))
     limit = max(RARE_LEAST, RARE_DOCS * (counts.where("word = ''").agg(F.sum("n")).head()[0] or 0))
 
+    shared = item_words.groupBy("word").agg(F.count(F.lit(1)).alias("n_items"))
+    own = F.col("n_items") <= max(1, OWN_SHARE * wanted.count())
+
     def ranks(leaks: DataFrame | None) -> DataFrame:
-        rows = item_words.join(counts, "word", "left")
+        rows = item_words.join(counts, "word", "left").join(shared.select("word", own.alias("own")), "word")
         rows = rows.withColumn("leaks", F.lit(0)) if leaks is None else rows.join(leaks, ["item_key", "word"], "left")
-        lists = rows.groupBy("item_key").agg(F.collect_list(F.struct("word", "n", F.col("leaks").cast("bigint").alias("leaks"))).alias("counts"))
+        lists = rows.groupBy("item_key").agg(F.collect_list(F.struct("word", "n", F.col("leaks").cast("bigint").alias("leaks"), "own")).alias("counts"))
         return cut(wanted.join(lists, "item_key").select("item_key", "item_id", "text", "counts").mapInArrow(partial(_rank, limit=limit), _RANKED))
 
     first = ranks(None)
     suspects = first.where(F.size("suspects") > 0)
-    leaks = _joined(docs, suspects, "suspects").mapInArrow(partial(_judge, leaks=True), "doc_id bigint, item_key bigint, word string")
-    own = leaks.distinct().groupBy("item_key", "word").agg(F.count(F.lit(1)).alias("leaks"))
-    final = ranks(own) if suspects.limit(1).count() else first
-    return _joined(docs, final, "prefix").mapInArrow(partial(_judge, leaks=False), "doc_id bigint, item_key bigint, item_id bigint").select("doc_id", "item_id").distinct()
+    leaks = _joined(docs, suspects, suspects=True).mapInArrow(partial(_judge, leaks=True), "doc_id bigint, item_key bigint, word string")
+    times = leaks.distinct().groupBy("item_key", "word").agg(F.count(F.lit(1)).alias("leaks"))
+    final = ranks(times) if suspects.limit(1).count() else first
+    return _joined(docs, final).mapInArrow(partial(_judge, leaks=False), "doc_id bigint, item_key bigint, item_id bigint").select("doc_id", "item_id").distinct()
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
